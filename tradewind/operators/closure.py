@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.operators.membership import children_by_value, children_of
+from tradewind.operators.membership import children_by_value, children_of, matched
 from tradewind.plans.entities import (
     ENTITIES,
     REFERENCE_TABLES,
@@ -80,8 +80,8 @@ def reference_bundle(shop: Shop, tables: Mapping[str, DataFrame]) -> dict[str, D
         used = users[0].select(F.col(key)).distinct()
         for t in users[1:]:
             used = used.unionByName(t.select(F.col(key)).distinct())
-        out[name] = shop[name].join(used, key, "left_semi")
+        out[name] = matched(shop[name], used, key)
         labels = f"{name}_lang"
         if has_labels and labels in shop:
-            out[labels] = shop[labels].join(used, key, "left_semi")
+            out[labels] = matched(shop[labels], used, key)
     return out

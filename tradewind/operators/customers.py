@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.filters import FilterSpec
 from tradewind.operators.geo import customers_by_address
-from tradewind.operators.membership import ChildTest, where_children
+from tradewind.operators.membership import ChildTest, matched, where_children
 from tradewind.operators.predicates import Match, ago, between, day_range, filled
 from tradewind.operators.value import where_customer_value
 from tradewind.sources.shop import Shop
@@ -87,7 +87,7 @@ def select_customers(
     if (days := spec.given("last_visit_days_ago")) is not None:
         last = shop["connections"].groupBy("id_customer").agg(F.max("date_add").alias("_last"))
         stale = last.where(F.col("_last") < ago(as_of, days=days)).select("id_customer")
-        customers = customers.join(stale, "id_customer", "left_semi")
+        customers = matched(customers, stale, "id_customer")
     if by_address:
         customers = customers_by_address(
             customers, shop, spec, ignore_case=ignore_case, **geo_options

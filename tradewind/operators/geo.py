@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.filters import FilterSpec
 from tradewind.functions.geography import department_of
-from tradewind.operators.membership import ChildTest, where_children
+from tradewind.operators.membership import ChildTest, matched, where_children
 from tradewind.operators.predicates import Match
 from tradewind.sources.shop import Shop
 
@@ -72,10 +72,10 @@ def matching_addresses(
             countries = countries.where(match.isin(F.col("iso_code"), isos))
         if (zones := given("id_zone")) is not None:
             countries = countries.where(F.col("id_zone").isin(zones))
-        addresses = addresses.join(countries.select("id_country"), "id_country", "left_semi")
+        addresses = matched(addresses, countries.select("id_country"), "id_country")
     if (isos := given("state_iso")) is not None:
         states = shop["state"].where(match.isin(F.col("iso_code"), isos))
-        addresses = addresses.join(states.select("id_state"), "id_state", "left_semi")
+        addresses = matched(addresses, states.select("id_state"), "id_state")
 
     departments, regions = given("dept_code"), given("region_code")
     if departments is not None and department_by_prefix:
@@ -98,8 +98,7 @@ def matching_addresses(
             isos = shop["country"].select("id_country", F.col("iso_code").alias("country_iso"))
             addresses = addresses.join(isos, "id_country", "left")
             keys.append("country_iso")
-        addresses = addresses.join(wanted.select(keys), keys, "left_semi")
-        addresses = addresses.drop(*keys)
+        addresses = matched(addresses, wanted.select(keys), keys).select(shop["address"].columns)
     return addresses
 
 
@@ -115,7 +114,7 @@ def orders_by_address(orders: DataFrame, shop: Shop, spec: FilterSpec, **options
     kind = spec.address_type or "delivery"
     if kind != "both":
         key = f"id_address_{kind}"
-        return orders.join(found.withColumnRenamed("id_address", key), key, "left_semi")
+        return matched(orders, found.withColumnRenamed("id_address", key), key)
 
     columns = orders.columns
     for key in ("id_address_delivery", "id_address_invoice"):

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.operators.membership import children_of
+from tradewind.operators.membership import children_of, matched
 from tradewind.operators.predicates import ago, now
 
 # Hours without progress, and the message a stuck run gets.
@@ -20,7 +20,7 @@ RETENTION_DAYS = 7
 
 def orphan_rows(children: DataFrame, parents: DataFrame, fk: str, pk: str | None = None):
     """Children whose parent is gone, including those that name none."""
-    return children.join(parents.select(F.col(pk or fk).alias(fk)), fk, "left_anti")
+    return matched(children, parents.select(F.col(pk or fk).alias(fk)), fk, "left_anti")
 
 
 def drop_orphans(children: DataFrame, parents: DataFrame, fk: str, pk: str | None = None):

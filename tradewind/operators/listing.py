@@ -16,7 +16,8 @@ def newest(rows: DataFrame, time: str, key: str, limit: int) -> DataFrame:
 def with_owner(jobs: DataFrame, employees: DataFrame) -> DataFrame:
     """Runs with the first and last name of the employee who started them."""
     names = employees.select("id_employee", "firstname", "lastname")
-    return jobs.join(names, "id_employee", "left")
+    joined = jobs.join(names, "id_employee", "left")
+    return joined.select(*jobs.columns, "firstname", "lastname")
 
 
 def top_recent_jobs(jobs: DataFrame, employees: DataFrame, limit: int = 50) -> DataFrame:

@@ -26,6 +26,11 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def matched(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi"):
+    """A semi or anti join on equal names that keeps the column order."""
+    return rows.join(keys, on, how).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 @dataclass(frozen=True)
 class ChildTest:
     """At least ``at_least`` child rows satisfy ``predicate`` (any row if None).
@@ -56,7 +61,7 @@ def where_children(
 
     if len(tests) == 1 and tests[0].at_least <= 1:
         keys = children.select(on).distinct()
-        return parents.join(keys, on, "left_semi" if tests[0].wanted else "left_anti")
+        return matched(parents, keys, on, "left_semi" if tests[0].wanted else "left_anti")
 
     counts = children.groupBy(on).agg(
         *[
@@ -68,18 +73,18 @@ def where_children(
     if any(t.wanted for t in tests):
         for t, r in zip(tests, reached):
             counts = counts.where(r if t.wanted else ~r)
-        return parents.join(counts.select(on), on, "left_semi")
+        return matched(parents, counts.select(on), on)
     unwanted = reached[0]
     for r in reached[1:]:
         unwanted = unwanted | r
-    return parents.join(counts.where(unwanted).select(on), on, "left_anti")
+    return matched(parents, counts.where(unwanted).select(on), on, "left_anti")
 
 
 def children_of(
     children: DataFrame, parents: DataFrame, on: str, key: str | None = None
 ) -> DataFrame:
     """Children whose ``on`` is a ``key`` of the parents (unique there)."""
-    return children.join(parents.select(F.col(key or on).alias(on)), on, "left_semi")
+    return matched(children, parents.select(F.col(key or on).alias(on)), on)
 
 
 def children_by_value(
@@ -97,4 +102,4 @@ def children_by_value(
         .distinct()
         .select(on)
     )
-    return children.join(keys, on, how)
+    return matched(children, keys, on, how)

@@ -30,8 +30,9 @@ def add_customer_value(customers: DataFrame, shop: Shop, measures=tuple(MEASURES
         .groupBy("id_customer")
         .agg(*[measure[m].alias(m) for m in measures])
     )
-    joined = customers.join(values, "id_customer", "left")
-    return joined.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in measures})
+    return customers.join(values, "id_customer", "left").select(
+        *customers.columns, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures]
+    )
 
 
 def where_customer_value(customers: DataFrame, shop: Shop, spec: FilterSpec) -> DataFrame:

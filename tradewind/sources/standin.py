@@ -298,14 +298,6 @@ def sample_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, condition, columns = _VIEWS[name]
-    rows = sample_table(spark, sf_dir, source)
-    if condition is not None:
-        rows = rows.where(condition)
-    return rows.selectExpr(*columns)
-
-
 def _order_state_lang(spark: SparkSession) -> DataFrame:
     return spark.sql(
         """
@@ -317,8 +309,21 @@ def _order_state_lang(spark: SparkSession) -> DataFrame:
     )
 
 
-def sample_shop(spark: SparkSession, sf_dir: str) -> Shop:
+class SampleShop(Shop):
     """A shop over the sample tables of one scale."""
-    tables = {n: partial(_view, spark, sf_dir, n) for n in _VIEWS}
-    tables["order_state_lang"] = partial(_order_state_lang, spark)
-    return Shop(spark, tables)
+
+    def __init__(self, spark: SparkSession, sample_dir: str):
+        def opened(name: str) -> DataFrame:
+            return self.view(name, sample_table(spark, sample_dir, _VIEWS[name][0]))
+
+        tables = {name: partial(opened, name) for name in _VIEWS}
+        tables["order_state_lang"] = partial(_order_state_lang, spark)
+        super().__init__(spark, tables)
+        self.sample_dir = sample_dir
+
+    def view(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows of a sample table in the shape of a shop table."""
+        _, condition, columns = _VIEWS[name]
+        if condition is not None:
+            rows = rows.where(condition)
+        return rows.selectExpr(*columns)
