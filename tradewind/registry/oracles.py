@@ -455,9 +455,9 @@ _BODIES = {
     "geo_delivery": _orders(_delivered("a.id_country IN (3, 7)")),
     "geo_invoice": _orders(_delivered("a.id_country IN (3, 7)", key="id_address_invoice")),
     "geo_both": _orders(
-        _delivered("a.id_country IN (3, 7) AND a.postcode LIKE '0%'")
+        _delivered("a.id_country IN (3, 7, 12, 15) AND a.postcode LIKE '05%'")
         + " OR "
-        + _delivered("a.id_country IN (3, 7) AND a.postcode LIKE '0%'", key="id_address_invoice")
+        + _delivered("a.id_country IN (3, 7, 12, 15) AND a.postcode LIKE '05%'", key="id_address_invoice")
     ),
     "geo_country": _orders(_delivered("a.id_country IN (1, 20)")),
     "geo_country_iso": _orders(_delivered("k.iso_code IN ('4', '11')", _COUNTRY)),
@@ -480,7 +480,7 @@ _BODIES = {
         WHERE g.region_code IN ('OCC', 'ARA', 'IDF', 'NAQ') AND a.id_country = 5""",
     "geo_customer": f"""
         SELECT id_customer, id_default_group, email, active FROM s_customer c
-        WHERE {_home("a.id_country IN (2, 4, 9) AND a.postcode LIKE '0%'")}""",
+        WHERE {_home("a.id_country IN (2, 4, 9, 15, 18) AND a.postcode LIKE '05%'")}""",
     "c_base": _customers(
         """c.id_shop = 1 AND c.date_add >= '1995-01-10' AND c.date_add < '1999-01-01'
         AND c.id_customer BETWEEN 5 AND 1200"""

@@ -99,7 +99,7 @@ ORDER_FILTERS: dict[str, dict] = {
     "f_coupons_together": {"coupon_code_contains": "#1", "coupon_count_min": 2},
     "geo_delivery": {"address_type": "delivery", "id_country": [3, 7]},
     "geo_invoice": {"address_type": "invoice", "id_country": [3, 7]},
-    "geo_both": {"address_type": "both", "id_country": [3, 7], "postcode_prefix": "0"},
+    "geo_both": {"address_type": "both", "id_country": [3, 7, 12, 15], "postcode_prefix": "05"},
     "geo_country": {"id_country": [1, 20]},
     "geo_country_iso": {"country_iso": ["4", "11"]},
     "geo_state": {"id_state": [5]},
@@ -239,7 +239,7 @@ def _last_visit(shop: Shop) -> DataFrame:
 
 
 def _geo_customer(shop: Shop) -> DataFrame:
-    spec = FilterSpec(id_country=[2, 4, 9], postcode_prefix="0")
+    spec = FilterSpec(id_country=[2, 4, 9, 15, 18], postcode_prefix="05")
     return customers_by_address(shop["customer"], shop, spec).select(CUSTOMER_COLUMNS)
 
 
