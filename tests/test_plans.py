@@ -69,7 +69,7 @@ def test_rows_of_one_huge_value_are_split(big_world):
     orders = shop["orders"].withColumn(
         "reference", F.when(F.col("id_order") % 3 == 0, F.lit("R7")).otherwise(F.col("reference"))
     )
-    df = children_by_value(payments, orders, "order_reference", "reference")
+    df = children_by_value(payments, orders, "order_reference", "reference", "id_order")
     assert "skew=true" in executed(df)
 
 

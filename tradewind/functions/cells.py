@@ -11,15 +11,17 @@ from pyspark.sql import types as T
 # Characters that start a formula, and the control characters
 # (all but tab, line feed and carriage return) that are removed.
 FORMULA_START = "=+-@\t\r\n"
-CONTROL = "".join(map(chr, [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]))
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
 
 def _guard(text: Column) -> Column:
-    return F.regexp_replace(text, r"^(?=[=+\-@\t\r\n])", "'")
+    risky = F.ascii(text).isin([ord(c) for c in FORMULA_START])
+    return F.when(risky, F.concat(F.lit("'"), text)).otherwise(text)
 
 
 def _strip(text: Column) -> Column:
-    return F.translate(text, CONTROL, "")
+    """Rewrites only the rare value that holds a control character."""
+    return F.when(text.rlike(CONTROL), F.regexp_replace(text, CONTROL, "")).otherwise(text)
 
 
 def csv_safe_value(value: Column, legacy_order: bool = False) -> Column:
@@ -34,17 +36,34 @@ def csv_safe_value(value: Column, legacy_order: bool = False) -> Column:
 
 
 def csv_safe_cells(df: DataFrame, legacy_order: bool = False) -> DataFrame:
-    """Every column as safe text."""
+    """Every column as safe text.
 
-    def cell(f: T.StructField) -> Column:
+    Control characters are looked for once per row, in all its text together.
+    Numbers and times hold none, but a number can be negative.
+    """
+    plain = (T.NumericType, T.DatetimeType, T.BooleanType)
+    values = {}
+    for f in df.schema.fields:
         value = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.BooleanType):
             value = value.cast("int")
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             value = F.to_json(value)
-        return csv_safe_value(value, legacy_order).alias(f.name)
+        values[f.name] = value.cast("string")
+    texts = [values[f.name] for f in df.schema.fields if not isinstance(f.dataType, plain)]
+    dirty = F.concat_ws("", *texts).rlike(CONTROL) if texts else F.lit(False)
 
-    return df.select([cell(f) for f in df.schema.fields])
+    def cell(f: T.StructField) -> Column:
+        text = F.coalesce(values[f.name], F.lit(""))
+        if isinstance(f.dataType, plain):
+            safe = _guard(text)
+        elif legacy_order:
+            safe = F.when(F.col("_dirty"), _strip(_guard(text))).otherwise(_guard(text))
+        else:
+            safe = _guard(F.when(F.col("_dirty"), _strip(text)).otherwise(text))
+        return safe.alias(f.name)
+
+    return df.withColumn("_dirty", dirty).select([cell(f) for f in df.schema.fields])
 
 
 def clean_header(name: str) -> str:

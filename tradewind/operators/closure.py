@@ -35,11 +35,11 @@ def plan_export(
 
 def scan_children(shop: Shop, entity: Entity, parents: DataFrame) -> DataFrame:
     """Rows of a child table that belong to the given parents."""
-    parent_pk = ENTITIES[entity.parent].pk if entity.parent in ENTITIES else None
-    key = entity.parent_key or parent_pk
+    pk = ENTITIES[entity.parent].pk
+    rows = shop[entity.name]
     if entity.parent_key is not None:
-        return children_by_value(shop[entity.name], parents, entity.fk, key)
-    return children_of(shop[entity.name], parents, entity.fk, key)
+        return children_by_value(rows, parents, entity.fk, entity.parent_key, pk)
+    return children_of(rows, parents, entity.fk, pk)
 
 
 def relational_closure(

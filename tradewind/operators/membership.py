@@ -91,14 +91,18 @@ def children_by_value(
     children: DataFrame,
     parents: DataFrame,
     on: str,
-    key: str | None = None,
+    key: str,
+    spread: str,
     how: str = "left_semi",
 ) -> DataFrame:
-    """Rows whose ``on`` occurs as ``key`` on the other side, repeated or not."""
+    """Rows whose ``on`` occurs as ``key`` on the other side, repeated or not.
+
+    ``spread`` is a column of the other side that tells rows of one key apart.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).alias("_salt")
     keys = (
-        parents.select(F.col(key or on).alias(on))
+        parents.select(F.col(key).alias(on), salt)
         .where(F.col(on).isNotNull())
-        .withColumn("_salt", F.spark_partition_id() % SALTS)
         .distinct()
         .select(on)
     )

@@ -114,10 +114,14 @@ def _by_payment(orders: DataFrame, shop: Shop, spec: FilterSpec) -> DataFrame:
     """Payments name the order's reference, which orders may share."""
     if spec.has_payment is None:
         return orders
-    payments = shop["order_payment"]
-    if spec.has_payment:
-        return children_by_value(orders, payments, "reference", "order_reference")
-    return children_by_value(orders, payments, "reference", "order_reference", how="left_anti")
+    return children_by_value(
+        orders,
+        shop["order_payment"],
+        "reference",
+        "order_reference",
+        "id_order_payment",
+        "left_semi" if spec.has_payment else "left_anti",
+    )
 
 
 def _by_lines(orders: DataFrame, shop: Shop, spec: FilterSpec, match: Match) -> DataFrame:

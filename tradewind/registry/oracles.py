@@ -334,6 +334,7 @@ _BODIES = {
                CASE WHEN acctbal < 0 AND CAST(round(acctbal) AS BIGINT) <> 0
                     THEN '''' ELSE '' END || CAST(round(acctbal) AS BIGINT) AS balance
         FROM s_customer""",
+    "csv_bom": "SELECT count(*) > 0 AS marked FROM orders",
     "column_projection": "SELECT email, '' AS birthday, id_customer FROM s_customer",
     "export_relational": f"""
         WITH buyer AS (SELECT * FROM s_customer c WHERE {_ACTIVE}),
@@ -687,6 +688,11 @@ _BODIES = {
     "job_files": """
         SELECT id_export_job, entity_name FROM s_file WHERE id_export_job = 7
         ORDER BY entity_name""",
+    "order_by_key": _orders(_FILTERED) + " ORDER BY id_order",
+    "flat_sort": f"""
+        SELECT o.id_order, d.id_order_detail, d.product_id
+        FROM s_orders o LEFT JOIN s_detail d ON d.id_order = o.id_order
+        WHERE {_FILTERED} ORDER BY 1, 2, 3""",
     "facet_payments": """
         SELECT DISTINCT payment FROM s_orders WHERE payment IS NOT NULL AND payment <> ''
         ORDER BY payment""",

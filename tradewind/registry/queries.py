@@ -264,8 +264,9 @@ def _value_filter(*measures_: str, **filters) -> Query:
 
 def _used_departments(shop: Shop) -> DataFrame:
     """The department map limited to departments with an address."""
-    codes = shop["address"].select(department_of(F.col("postcode")).alias("dept_code"))
-    return children_by_value(shop.geo_map(), codes, "dept_code")
+    code = department_of(F.col("postcode")).alias("code")
+    codes = shop["address"].select("id_address", code)
+    return children_by_value(shop.geo_map(), codes, "dept_code", "code", "id_address")
 
 
 def _department_of(shop: Shop) -> DataFrame:
@@ -439,6 +440,15 @@ def _sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "n_chars")})
 
 
+def _csv_bom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every written file starts with the byte order mark."""
+    path = scratch_dir(spark, "csv_bom")
+    write_csv(_shop(spark, sf_dir)["orders"], path, CsvOptions(rows_per_file=5000))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    marked = F.hex(F.substring("content", 1, 3)) == "EFBBBF"
+    return files.agg(F.bool_and(marked).alias("marked"))
+
+
 def _sink_csv_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "sink_csv_masked")
     options = CsvOptions(anonymize=True, compression="gzip", rows_per_file=500, sep=",")
@@ -501,7 +511,7 @@ def _export_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _export_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "export_flat")
-    done = export_flat(_shop(spark, sf_dir), path, WIDE, ordered=True)
+    done = export_flat(_shop(spark, sf_dir), path, WIDE)
     return read_csv(spark, done.outputs["export_complet"]).select(
         F.col("id_order").cast("long").alias("id_order"),
         F.col("product_id").cast("long").alias("product_id"),
@@ -578,6 +588,7 @@ QUERIES: dict[str, Query] = {
     "sink_csv_masked": _sink_csv_masked,
     "csv_header_clean": _over(_csv_header_clean),
     "csv_safe_cells": _over(_csv_safe_cells),
+    "csv_bom": _csv_bom,
     "column_projection": _over(_column_projection),
     "export_relational": _export_relational,
     "export_incremental": _export_incremental,
@@ -670,6 +681,14 @@ QUERIES: dict[str, Query] = {
     "job_files": _over(
         lambda s: listing.job_files(s["export_file"], 7).select("id_export_job", "entity_name")
     ),
+    "order_by_key": _over(
+        lambda s: select_orders(s, FILTERED).select(ORDER_COLUMNS).orderBy("id_order")
+    ),
+    "flat_sort": _over(
+        lambda s: wide.flat_orders(s, FILTERED, with_line_id=True)
+        .select("id_order", "id_order_detail", "product_id")
+        .orderBy("id_order", "id_order_detail", "product_id")
+    ),
     "facet_payments": _over(lambda s: listing.facet_payments(s["orders"])),
     "facet_regions": _over(lambda s: listing.facet_regions(_used_departments(s))),
     "facet_departments": _over(lambda s: listing.facet_departments(_used_departments(s))),

@@ -18,7 +18,8 @@ BOM = "﻿"
 class CsvOptions:
     """How CSV datasets are written and read back.
 
-    ``rows_per_file`` bounds the size of one part file.
+    ``rows_per_file`` bounds the size of one part file, ``writes_at_once`` the
+    number of datasets of one export that are written at the same time.
     """
 
     sep: str = ";"
@@ -28,6 +29,7 @@ class CsvOptions:
     anonymize: bool = False
     compression: str | None = None
     rows_per_file: int = 1_000_000
+    writes_at_once: int = 4
 
     def dialect(self) -> dict[str, object]:
         return {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -34,6 +35,15 @@ def _stored(shop: Shop, name: str, rows: DataFrame) -> DataFrame:
     return shop.spark.read.parquet(path)
 
 
+def _write_all(datasets: Mapping[str, DataFrame], options: CsvOptions) -> None:
+    """Independent writes, some at a time, so that small ones fill idle cores."""
+    with ThreadPoolExecutor(options.writes_at_once) as pool:
+        for done in [
+            pool.submit(write_csv, rows, path, options) for path, rows in datasets.items()
+        ]:
+            done.result()
+
+
 def export_relational(
     shop: Shop,
     path: str,
@@ -78,10 +88,8 @@ def export_relational(
     if include_reference:
         tables.update(reference_bundle(shop, tables))
 
-    outputs = {}
-    for name, rows in tables.items():
-        outputs[name] = f"{path}/{name}"
-        write_csv(rows, outputs[name], options)
+    outputs = {name: f"{path}/{name}" for name in tables}
+    _write_all({outputs[name]: rows for name, rows in tables.items()}, options)
     last = {
         name: tables[name].agg(F.coalesce(F.max(key), F.lit(start))).first()[0]
         for name, (key, start) in keys.items()
