@@ -332,7 +332,8 @@ LINE_COLUMNS = ["id_order", "id_order_detail", "product_id"]
 
 def _mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every address in the texts; for odd documents with a second ``@``."""
-    found = sample_table(spark, sf_dir, "documents").select(
+    documents = sample_table(spark, sf_dir, "documents").where(F.col("text").contains("@"))
+    found = documents.select(
         "doc_id", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), 0)).alias("email")
     )
     odd = F.when(F.col("doc_id") % 2 == 1, F.concat("email", F.lit("@b"))).otherwise(F.col("email"))

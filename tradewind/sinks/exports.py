@@ -23,16 +23,14 @@ from tradewind.workspace import scratch_dir
 
 @dataclass(frozen=True)
 class Export:
-    """Written datasets by entity, and the last exported id of each root."""
+    """Written datasets by entity, and the last exported id of each root.
+
+    ``scratch`` lists the stored parents, which the caller may remove.
+    """
 
     outputs: dict[str, str]
     cursors: dict[str, int] = field(default_factory=dict)
-
-
-def _stored(shop: Shop, name: str, rows: DataFrame) -> DataFrame:
-    path = scratch_dir(shop.spark, name)
-    rows.write.parquet(path)
-    return shop.spark.read.parquet(path)
+    scratch: list[str] = field(default_factory=list)
 
 
 def _write_all(datasets: Mapping[str, DataFrame], options: CsvOptions) -> None:
@@ -78,7 +76,14 @@ def export_relational(
         roots[e.name] = after(rows, e.pk, start) if spec.incremental else rows
         keys[e.name] = (e.pk, start or 0)
 
-    tables = relational_closure(shop, plan, roots, lambda n, rows: _stored(shop, n, rows))
+    scratch = []
+
+    def store(name: str, rows: DataFrame) -> DataFrame:
+        scratch.append(scratch_dir(shop.spark, name))
+        rows.write.parquet(scratch[-1])
+        return shop.spark.read.parquet(scratch[-1])
+
+    tables = relational_closure(shop, plan, roots, store)
     if not include_custom_columns:
         for name, rows in tables.items():
             if name in ENTITIES:
@@ -94,7 +99,7 @@ def export_relational(
         name: tables[name].agg(F.coalesce(F.max(key), F.lit(start))).first()[0]
         for name, (key, start) in keys.items()
     }
-    return Export(outputs, last)
+    return Export(outputs, last, scratch)
 
 
 def export_enriched(
