@@ -28,7 +28,7 @@ SALTS = 16
 
 def matched(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi"):
     """A semi or anti join on equal names that keeps the column order."""
-    return rows.join(keys, on, how).select(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.join(keys, on, how).select(*[f"`{c}`" for c in rows.columns])
 
 
 @dataclass(frozen=True)

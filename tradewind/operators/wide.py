@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.filters import FilterSpec
@@ -98,36 +98,41 @@ def _labels(shop: Shop, table: str, key: str, language: int) -> DataFrame:
     return rows.select(key, F.col("name").alias("_label"))
 
 
-def _decorate(orders: DataFrame, shop: Shop, columns: dict[str, str], language: int) -> DataFrame:
-    """Orders with the customer, address and label columns a layout asks for.
+def _sides(
+    shop: Shop, columns: dict[str, str], language: int
+) -> list[tuple[DataFrame, str]]:
+    """The tables that a layout shows next to the order, each with its join key.
 
-    Every join is from the order's side to a unique key, so a customer or
-    pick-up address with very many orders sits on the side that adaptive
-    execution can split.  Country labels join the addresses, not the orders.
+    Every key is unique there, so a customer or pick-up address with very many
+    orders sits on the orders' side, which adaptive execution can split.
+    Country labels join the addresses, not the orders.
     """
     countries = _labels(shop, "country_lang", "id_country", language)
     states = _labels(shop, "order_state_lang", "id_order_state", language)
     addresses = shop["address"].join(countries, "id_country", "left")
     addresses = addresses.withColumnRenamed("_label", "country")
-    sources = {
-        "c": (shop["customer"], "id_customer", "id_customer"),
-        "d": (addresses, "id_address", "id_address_delivery"),
-        "i": (addresses, "id_address", "id_address_invoice"),
-    }
-    for alias, (table, key, order_key) in sources.items():
+    sources = [
+        ("c", shop["customer"], "id_customer", "id_customer"),
+        ("d", addresses, "id_address", "id_address_delivery"),
+        ("i", addresses, "id_address", "id_address_invoice"),
+    ]
+    sides = []
+    for alias, table, key, order_key in sources:
         wanted = [c.split(".")[1] for c in columns.values() if c.startswith(f"{alias}.")]
-        side = table.select(
-            F.col(key).alias(order_key), *[F.col(c).alias(f"{alias}.{c}") for c in wanted]
-        )
-        orders = orders.join(side, order_key, "left")
-    states = states.select(
-        F.col("id_order_state").alias("current_state"), F.col("_label").alias("state")
-    )
-    return orders.join(states, "current_state", "left")
+        renamed = [f"`{c}` AS `{alias}.{c}`" for c in wanted]
+        sides.append((table.selectExpr(f"{key} AS {order_key}", *renamed), order_key))
+    states = states.selectExpr("id_order_state AS current_state", "_label AS state")
+    return [*sides, (states, "current_state")]
 
 
-def _layout(columns: dict[str, str]) -> list[Column]:
-    return [F.col(f"`{source}`").alias(name) for name, source in columns.items()]
+def _decorate(orders: DataFrame, sides: list[tuple[DataFrame, str]]) -> DataFrame:
+    for side, key in sides:
+        orders = orders.join(side, key, "left")
+    return orders
+
+
+def _layout(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return rows.selectExpr(*[f"`{source}` AS `{name}`" for name, source in columns.items()])
 
 
 def enriched_orders(
@@ -140,7 +145,7 @@ def enriched_orders(
     """
     options.setdefault("department_by_prefix", True)
     orders = select_orders(shop, spec, **options)
-    return _decorate(orders, shop, ENRICHED, label_lang).select(_layout(ENRICHED))
+    return _layout(_decorate(orders, _sides(shop, ENRICHED, label_lang)), ENRICHED)
 
 
 def flat_orders(
@@ -166,8 +171,8 @@ def flat_orders(
     wanted = [c.split(".")[1] for c in columns.values() if c.startswith("l.")]
     lines = shop["order_detail"]
     keys = lines.select("id_order").distinct()
-    lines = lines.select("id_order", *[F.col(c).alias(f"l.{c}") for c in wanted])
-    with_lines = _decorate(orders, shop, columns, label_lang).join(lines, "id_order")
-    without = orders.join(keys, "id_order", "left_anti")
-    without = _decorate(without, shop, columns, label_lang)
-    return with_lines.unionByName(without, allowMissingColumns=True).select(_layout(columns))
+    lines = lines.selectExpr("id_order", *[f"`{c}` AS `l.{c}`" for c in wanted])
+    sides = _sides(shop, columns, label_lang)
+    with_lines = _decorate(orders, sides).join(lines, "id_order")
+    without = _decorate(orders.join(keys, "id_order", "left_anti"), sides)
+    return _layout(with_lines.unionByName(without, allowMissingColumns=True), columns)

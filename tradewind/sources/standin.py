@@ -6,7 +6,7 @@ pruning reach its Parquet scan.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -313,8 +313,12 @@ class SampleShop(Shop):
     """A shop over the sample tables of one scale."""
 
     def __init__(self, spark: SparkSession, sample_dir: str):
+        @cache
+        def sample(source: str) -> DataFrame:
+            return sample_table(spark, sample_dir, source)
+
         def opened(name: str) -> DataFrame:
-            return self.view(name, sample_table(spark, sample_dir, _VIEWS[name][0]))
+            return self.view(name, sample(_VIEWS[name][0]))
 
         tables = {name: partial(opened, name) for name in _VIEWS}
         tables["order_state_lang"] = partial(_order_state_lang, spark)
