@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.filters import FilterSpec
 from tradewind.operators.membership import children_by_value, children_of
+from tradewind.operators.measures import count_flat
 from tradewind.operators.orders import select_orders
 from tradewind.operators.wide import flat_orders
 from tradewind.registry.queries import QUERIES
@@ -50,6 +51,8 @@ def test_lines_of_one_huge_order_are_split(big_world):
     shop = shop.replace(order_detail=lines.withColumn("id_order", hot))
     df = flat_orders(shop)
     assert "skew=true" in executed(df)
+    assert df.count() == count_flat(shop).first().n
+    assert df.where("id_order = 7").count() == shop["order_detail"].where("id_order = 7").count()
 
 
 def test_orders_of_one_huge_customer_are_split(big_world):
@@ -57,7 +60,10 @@ def test_orders_of_one_huge_customer_are_split(big_world):
     hot = F.when(F.col("id_order") % 3 == 0, F.lit(7)).otherwise(F.col("id_customer"))
     orders = shop["orders"].repartition(8).withColumn("id_customer", hot)
     chosen = shop["customer"].where("active = 1")
-    assert "skew=true" in executed(children_of(orders, chosen, "id_customer"))
+    df = children_of(orders, chosen, "id_customer")
+    assert "skew=true" in executed(df)
+    active = {r.id_customer for r in chosen.collect()}
+    assert df.count() == sum(r.id_customer in active for r in orders.collect())
 
 
 def test_rows_of_one_huge_value_are_split(big_world):
@@ -71,6 +77,8 @@ def test_rows_of_one_huge_value_are_split(big_world):
     )
     df = children_by_value(payments, orders, "order_reference", "reference", "id_order")
     assert "skew=true" in executed(df)
+    known = {r.reference for r in orders.collect()}
+    assert df.count() == sum(r.order_reference in known for r in payments.collect())
 
 
 def test_tests_on_one_child_table_share_one_scan(big_world):
