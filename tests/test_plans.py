@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradewind.filters import FilterSpec
+from tradewind.operators.closure import plan_export, relational_closure
 from tradewind.operators.membership import children_by_value, children_of
 from tradewind.operators.measures import count_flat
 from tradewind.operators.orders import select_orders
@@ -97,6 +98,28 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "o_custkey" not in plan
 
 
+def test_key_range_of_stored_parents_reaches_the_child_scan(spark, tmp_path):
+    shop = SampleShop(spark, SMALL)
+
+    def store(name, rows):
+        rows.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    plan = plan_export(shop, "orders")
+    roots = {"orders": select_orders(shop, FilterSpec(id_min=200, id_max=300, payment="5-LOW"))}
+    tables = relational_closure(shop, plan, roots, store)
+    low, high = tables["orders"].selectExpr("min(id_order)", "max(id_order)").first()
+    scan = planned(tables["order_detail"])
+    assert f"GreaterThanOrEqual(l_orderkey,{low})" in scan
+    assert f"LessThanOrEqual(l_orderkey,{high})" in scan
+    lazy = relational_closure(shop, plan, roots)
+    assert tables["order_detail"].count() == lazy["order_detail"].count() > 0
+
+    none = {"orders": select_orders(shop, FilterSpec(id_min=10**9))}
+    empty = relational_closure(shop, plan, none, lambda n, rows: store(n + "_none", rows))
+    assert empty["order_detail"].count() == 0
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n[:2] in ("f_", "c_")] + ["customer_value"])
 def test_no_cross_join_and_no_python(spark, name):
     plan = planned(QUERIES[name](spark, SMALL))

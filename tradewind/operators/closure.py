@@ -33,12 +33,24 @@ def plan_export(
     return dependency_order(planned_entities(shop, export_type, level, custom))
 
 
-def scan_children(shop: Shop, entity: Entity, parents: DataFrame) -> DataFrame:
-    """Rows of a child table that belong to the given parents."""
+def scan_children(
+    shop: Shop,
+    entity: Entity,
+    parents: DataFrame,
+    key_range: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Rows of a child table that belong to the given parents.
+
+    ``key_range`` is the lowest and highest key of the parents, when known.  It
+    reaches the child's scan, which skips the files and row groups outside it
+    before anything is shuffled.
+    """
     pk = ENTITIES[entity.parent].pk
     rows = shop[entity.name]
     if entity.parent_key is not None:
         return children_by_value(rows, parents, entity.fk, entity.parent_key, pk)
+    if key_range is not None:
+        rows = rows.where(F.col(entity.fk).between(*key_range))
     return children_of(rows, parents, entity.fk, pk)
 
 
@@ -52,15 +64,22 @@ def relational_closure(
 
     ``store(name, rows)`` may write the rows of a parent and return the written
     table.  Its children then join that table instead of each running the
-    parent's whole selection again, and all see the same parents.
+    parent's whole selection again, all see the same parents, their scans are
+    cut to the range of the parents' keys, and every join has an exchange on
+    both sides, which splitting a very frequent parent needs.
     """
     plan = list(plan)
     parents = {e.parent for e in plan}
     out: dict[str, DataFrame] = {}
+    ranges: dict[str, tuple[int, int]] = {}
     for e in plan:
-        rows = roots[e.name] if e.is_root else scan_children(shop, e, out[e.parent])
+        if e.is_root:
+            rows = roots[e.name]
+        else:
+            rows = scan_children(shop, e, out[e.parent], ranges.get(e.parent))
         if store is not None and (e.is_root or e.name in parents):
             rows = store(e.name, rows)
+            ranges[e.name] = tuple(rows.agg(F.min(e.pk), F.max(e.pk)).first())
         out[e.name] = rows
     return out
 
