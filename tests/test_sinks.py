@@ -101,6 +101,21 @@ def test_wide_exports(spark, shop, tmp_path):
     assert read_csv(spark, rich).count() == 2
 
 
+@pytest.mark.parametrize("export", [export_enriched, export_flat])
+def test_wide_exports_continue_after_their_cursor(spark, shop, tmp_path, export):
+    spec = FilterSpec(incremental=True, id_max=4)
+    first = export(shop, str(tmp_path / "1"), spec, cursor=2, ordered=True)
+    (output,) = first.outputs.values()
+    assert {r.id_order for r in read_csv(spark, output).collect()} == {"3", "4"}
+    assert first.cursors == {"main": 4}
+    second = export(shop, str(tmp_path / "2"), spec, cursor=first.cursors["main"])
+    (output,) = second.outputs.values()
+    assert read_csv(spark, output).count() == 0
+    assert second.cursors == {"main": 4}
+    whole = export(shop, str(tmp_path / "3"))
+    assert whole.cursors == {"main": 5}
+
+
 def test_scratch_follows_the_session(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tradewind.filters import FilterSpec
@@ -102,6 +102,24 @@ def export_relational(
     return Export(outputs, last, scratch)
 
 
+def _after_cursor(shop: Shop, spec: FilterSpec | None, cursor: int | None) -> Shop:
+    """The shop whose orders start after the cursor, for an incremental export."""
+    if spec is None or not spec.incremental:
+        return shop
+    return shop.replace(orders=after(shop["orders"], "id_order", cursor))
+
+
+def _write_wide(
+    rows: DataFrame, path: str, name: str, options: CsvOptions, cursor: int | None
+) -> Export:
+    """Write one wide dataset; the highest order id is observed on the way."""
+    seen = Observation()
+    rows = rows.observe(seen, F.max("id_order").alias("last"))
+    write_csv(rows, f"{path}/{name}", options)
+    last = seen.get.get("last")
+    return Export({name: f"{path}/{name}"}, {"main": (cursor or 0) if last is None else last})
+
+
 def export_enriched(
     shop: Shop,
     path: str,
@@ -109,15 +127,14 @@ def export_enriched(
     *,
     options: CsvOptions = CsvOptions(),
     ordered: bool = False,
+    cursor: int | None = None,
     **selection,
 ) -> Export:
     """One row per order.  ``ordered`` sorts by order over all part files."""
-    rows = enriched_orders(shop, spec, **selection)
+    rows = enriched_orders(_after_cursor(shop, spec, cursor), spec, **selection)
     if ordered:
         rows = rows.orderBy("id_order")
-    output = f"{path}/orders_enriched"
-    write_csv(rows, output, options)
-    return Export({"orders_enriched": output})
+    return _write_wide(rows, path, "orders_enriched", options, cursor)
 
 
 def export_flat(
@@ -127,12 +144,13 @@ def export_flat(
     *,
     options: CsvOptions = CsvOptions(),
     ordered: bool = False,
+    cursor: int | None = None,
     **selection,
 ) -> Export:
     """One row per order line.  ``ordered`` sorts by order, then line."""
-    rows = flat_orders(shop, spec, with_line_id=ordered, **selection)
+    rows = flat_orders(
+        _after_cursor(shop, spec, cursor), spec, with_line_id=ordered, **selection
+    )
     if ordered:
         rows = rows.orderBy("id_order", "id_order_detail").drop("id_order_detail")
-    output = f"{path}/export_complet"
-    write_csv(rows, output, options)
-    return Export({"export_complet": output})
+    return _write_wide(rows, path, "export_complet", options, cursor)
