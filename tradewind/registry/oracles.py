@@ -301,7 +301,6 @@ def _guard(text: str) -> str:
 
 _USED = f"""(SELECT DISTINCT g.* FROM s_address a {_MAP})"""
 
-_STREAM = _orders(_WIDE)
 
 _BODIES = {
     "scan_orders": f"SELECT * FROM s_orders o WHERE {_PERIOD} AND id_order > 20",
