@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tradewind.registry.oracles import ORACLES
+from tradewind.registry.queries import QUERIES
 from tests.compare import connect, difference
 from tests.conftest import SMALL
 
@@ -15,12 +17,12 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    assert difference(queries()[name](spark, SMALL), duck, oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SMALL), duck, ORACLES[name]) is None
 
 
 def test_entry(spark):
