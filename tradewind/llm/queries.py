@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tradewind.llm import decontaminate
+from tradewind.llm import decontaminate, mixture, neardup
 
 QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_neardup": neardup.op9_neardup,
+    "op10_mixture": mixture.op10_mixture,
 }
 
 ORACLES = {
     "op8_decontaminate": decontaminate.SQL,
+    "op9_neardup": neardup.SQL,
+    "op10_mixture": mixture.SQL,
 }
