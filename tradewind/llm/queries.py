@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tradewind.llm import decontaminate, mixture, neardup
+from tradewind.llm import decontaminate, mixture, neardup, neighbours, secrets
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
+    "op6_secrets": secrets.op6_secrets,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_neardup": neardup.op9_neardup,
     "op10_mixture": mixture.op10_mixture,
 }
 
 ORACLES = {
+    "op1_neighbours": neighbours.SQL,
+    "op6_secrets": secrets.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op9_neardup": neardup.SQL,
     "op10_mixture": mixture.SQL,
