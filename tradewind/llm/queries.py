@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tradewind.llm import decontaminate, mixture, neardup, neighbours, secrets
+from tradewind.llm import decontaminate, language, mixture, neardup, neighbours, secrets, toxicity
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_language": language.op5_language,
     "op6_secrets": secrets.op6_secrets,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_neardup": neardup.op9_neardup,
