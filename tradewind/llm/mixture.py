@@ -73,8 +73,14 @@ def _running(rows: DataFrame, keys: list[str], part: str, order: list[Column], a
     return joined.withColumn(name, F.col("_ahead") + F.col("_own")).drop("_ahead", "_own")
 
 
+def turn_of(seed: str = "mix") -> Column:
+    """Where a row stands in its source's shuffled order."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
+
+
 def mix(documents: DataFrame, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) for every row of ``documents``.
+    """(doc_id, turn, size, source, source_size, target, copies, taken) for every row of ``documents``.
 
     size counts words between ASCII blanks (null text: 0); taken is copies * size.  The shuffle
     orders a source by the MD5 of ``seed``, doc_id and the text's MD5, so reruns agree, and rows
@@ -83,13 +89,12 @@ def mix(documents: DataFrame, repeats: int = REPEATS, seed: str = "mix") -> Data
     Columns besides doc_id, text and source are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
     rows = store.checkpoint(
         documents.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-            key.alias("turn"),
+            turn_of(seed).alias("turn"),
         )
     )
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -119,12 +124,12 @@ def mix(documents: DataFrame, repeats: int = REPEATS, seed: str = "mix") -> Data
     queue = _running(queue.withColumn("all", F.lit(0)), ["all"], "bin", [F.col("finish"), F.col("source").isNull(), F.col("source"), F.col("turn"), F.col("copy")], "size", "queued")
     taken = queue.where(F.col("queued") <= total).groupBy("sid", "upto", F.col("turn").alias("t")).agg(F.count(F.lit(1)).alias("copies"))
     idle = rows.where("size = 0").select(
-        "doc_id", "size", "source", "source_size", "target", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken")
+        "doc_id", "turn", "size", "source", "source_size", "target", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken")
     )
     copies = F.coalesce("copies", F.lit(0)).cast("long")
     return (
         dealt.join(taken, ["sid", "upto"], "left")
-        .select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        .select("doc_id", "turn", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
         .union(idle)
     )
 

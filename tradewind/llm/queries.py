@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tradewind.llm import decontaminate, language, mixture, neardup, neighbours, neural, quality, secrets, toxicity
+import corpus_pipeline
+from tradewind.llm import decontaminate, language, mixture, neardup, neighbours, neural, personal, quality, secrets, toxicity
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
     "op2_lm": neural.op2_lm,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_personal": personal.op4_personal,
     "op5_language": language.op5_language,
     "op6_secrets": secrets.op6_secrets,
     "op7_quality": quality.op7_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_neardup": neardup.op9_neardup,
     "op10_mixture": mixture.op10_mixture,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -132,7 +132,7 @@ def _terms(documents: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> ToxicTer
 
 
 def passages(documents: DataFrame, terms: ToxicTerms) -> DataFrame:
-    """(doc_id, n_words, best, evidence, passages): words counted from 0, a passage's end exclusive.
+    """(doc_id, text_key, n_words, best, evidence, passages): a hash of the text; words counted from 0, a passage's end exclusive.
 
     best and evidence are lambda times the score of the best and of all segments.
     """
@@ -141,7 +141,7 @@ def passages(documents: DataFrame, terms: ToxicTerms) -> DataFrame:
     def scan(batches):
         known = shared.value
         for batch in batches:
-            for first, last, data, offsets in byte_slices(batch.column(1)):
+            for first, last, data, offsets in byte_slices(batch.column(2)):
                 tokens = tokenize(data, offsets, ALPHANUMERIC)
                 at = lookup(tokens.hashes, known.hashes)
                 hit = np.flatnonzero(at >= 0)
@@ -159,15 +159,16 @@ def passages(documents: DataFrame, terms: ToxicTerms) -> DataFrame:
                             found[r].append({"begin": begin, "end": end + 1, "score": score, "expected": expected})
                 yield store.table(
                     doc_id=batch.column(0).slice(first, last - first),
+                    text_key=batch.column(1).slice(first, last - first),
                     n_words=n.astype(np.int64),
                     best=best,
                     evidence=evidence,
                     passages=pa.array(found, _PASSAGES),
                 )
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8().alias("text"))
     kind = "array<struct<begin:bigint,end:bigint,score:double,expected:double>>"
-    return source.mapInArrow(scan, f"doc_id bigint, n_words bigint, best double, evidence double, passages {kind}")
+    return source.mapInArrow(scan, f"doc_id bigint, text_key bigint, n_words bigint, best double, evidence double, passages {kind}")
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -184,7 +185,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, teach: Column | None = None, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, score, predicted, n_words, evidence, passages) for every row of ``documents``.
+    """(doc_id, text_key, score, predicted, n_words, evidence, passages) for every row of ``documents``.
 
     Learns from at most ``most_labelled`` labelled texts, picked by a hash among the rows of
     ``labels`` that ``teach`` admits (all, if None); the score reads the text alone.  Null texts
@@ -213,7 +214,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, teach: Column | None
         w = _fit(np.stack([np.ones(len(y)), *(sample[f"x{i}"].to_numpy() for i in (1, 2, 3))], axis=1), y)
     logit = sum((float(a) * x for a, x in zip(w[1:], features)), F.lit(float(w[0])))
     scored = found.withColumn("score", 1 / (1 + F.exp(-logit)))
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "evidence", "passages")
+    return scored.select("doc_id", "text_key", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "evidence", "passages")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
