@@ -162,3 +162,72 @@ def test_stuck_and_retention(spark):
     assert ids(parts.expired_children, "f") == [10]
     assert ids(drop_expired(jobs, "date_upd", as_of), "id") == [2, 4]
     assert ids(valid_links(jobs, "date_upd", "2024-01-05 00:00:00"), "id") == [2]
+
+
+def test_last_day_is_whole(spark, shop):
+    def dated(text):
+        return shop.replace(orders=shop["orders"].withColumn("date_add", F.to_timestamp_ntz(F.lit(text))))
+
+    spec = FilterSpec(date_add_from="2024-02-28", date_add_to="2024-02-29")
+    assert select_orders(dated("2024-02-29 23:59:59.5"), spec).count() == 5
+    assert select_orders(dated("2024-02-29 23:59:59.999999"), spec).count() == 5
+    assert select_orders(dated("2024-03-01 00:00:00"), spec).count() == 0
+    assert select_orders(dated("2024-02-28 00:00:00"), spec).count() == 5
+
+
+def test_own_columns_survive_a_region_filter(shop):
+    from tradewind.operators.geo import matching_addresses
+
+    own = shop.replace(address=shop["address"].withColumn("_department", F.lit("own")))
+    rows = matching_addresses(own, FilterSpec(region_code=["IDF"]), country_guard=True).collect()
+    assert {r._department for r in rows} == {"own"} and {r.postcode for r in rows} == {"75001"}
+
+
+def test_wide_departments_follow_corsica_and_guard(shop):
+    from tradewind.operators.wide import enriched_orders
+
+    corsican = shop.replace(address=shop["address"].withColumn("postcode", F.lit("20090")))
+    def rows(code, **o):
+        return enriched_orders(corsican, FilterSpec(dept_code=[code]), **o).count()
+
+    assert [rows("2A"), rows("2A", corsica=True), rows("20"), rows("20", corsica=True)] == [0, 4, 4, 0]
+    assert rows("20", country_guard=True) == 0
+    assert rows("2A", corsica=True, country_guard=True) == select_orders(
+        corsican, FilterSpec(dept_code=["2A"]), corsica=True, country_guard=True
+    ).count()
+
+
+def test_an_address_column_named_country(shop):
+    from tradewind.operators.wide import enriched_orders, flat_orders
+
+    own = shop.replace(address=shop["address"].withColumn("country", F.lit("own")))
+    for build in (enriched_orders, flat_orders):
+        got = {r.delivery_country for r in build(own).collect()}
+        assert got <= {"France", "Belgique", None} and "France" in got
+
+
+def test_newest_runs_stay_in_order(spark):
+    from tradewind.operators.listing import top_recent_jobs
+
+    jobs = spark.range(200).selectExpr("id AS id_export_job", "id * 7 % 50 AS id_employee", "id * 13 % 200 AS date_add")
+    names = spark.range(50).selectExpr("id AS id_employee", "'a' AS firstname", "'b' AS lastname")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [r.date_add for r in top_recent_jobs(jobs, names, 60).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == list(range(199, 139, -1))
+
+
+def test_total_estimate(shop):
+    from tradewind.operators.measures import estimate_total
+
+    assert estimate_total(shop, "orders", "essential", {"orders": FilterSpec(id_max=2)}).first().rows == 7
+
+
+def test_department_map_rows(shop):
+    rows = {r.dept_code: (r.dept_name, r.region_code) for r in shop.geo_map().collect()}
+    assert len(rows) == 101
+    assert rows["2A"] == ("Corse-du-Sud", "COR") and rows["75"] == ("Paris", "IDF")
+    assert rows["974"][1] == "REU" and rows["01"] == ("Ain", "ARA")

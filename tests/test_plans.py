@@ -6,11 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradewind.filters import FilterSpec
-from tradewind.operators.closure import plan_export, relational_closure
+from tradewind.operators.closure import (
+    plan_export, reference_bundle, relational_closure, used_dimensions,
+)
+from tradewind.operators.customers import select_customers
 from tradewind.operators.membership import children_by_value, children_of
 from tradewind.operators.measures import count_flat
 from tradewind.operators.orders import select_orders
-from tradewind.operators.wide import flat_orders
+from tradewind.operators.wide import enriched_orders, flat_orders
 from tradewind.registry.queries import QUERIES
 from tradewind.sources.standin import SampleShop
 from tests.conftest import SMALL
@@ -112,7 +115,7 @@ def test_key_range_of_stored_parents_reaches_the_child_scan(spark, tmp_path):
     scan = planned(tables["order_detail"])
     assert f"GreaterThanOrEqual(l_orderkey,{low})" in scan
     assert f"LessThanOrEqual(l_orderkey,{high})" in scan
-    lazy = relational_closure(shop, plan, roots)
+    lazy = relational_closure(shop, plan, roots, lambda _, rows: rows)
     assert tables["order_detail"].count() == lazy["order_detail"].count() > 0
 
     none = {"orders": select_orders(shop, FilterSpec(id_min=10**9))}
@@ -120,7 +123,59 @@ def test_key_range_of_stored_parents_reaches_the_child_scan(spark, tmp_path):
     assert empty["order_detail"].count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n[:2] in ("f_", "c_")] + ["customer_value"])
+def test_closure_runs_its_selection_once(big_world):
+    """Children read the stored orders, not the filters again."""
+    shop = SampleShop(big_world, SMALL)
+    spec = FilterSpec(payment="5-LOW", has_return=True)
+    plan = plan_export(shop, "orders", "ultra")
+    tables = relational_closure(shop, plan, {"orders": select_orders(shop, spec)})
+    for name in ("orders", "order_detail", "order_slip_detail", "order_payment"):
+        assert "o_orderpriority" not in planned(tables[name])
+
+
+def test_dimension_ids_are_read_once_per_table(big_world):
+    """A leaf runs for its dataset and once more for all the dimensions it uses."""
+    shop = SampleShop(big_world, SMALL)
+    plan = plan_export(shop, "customers", "essential")
+    tables = relational_closure(shop, plan, {"customer": select_customers(shop, FilterSpec(customer_active=True))})
+    gathered = planned(used_dimensions(shop, tables))
+    assert len(re.findall("FileScan parquet", gathered)) == 1
+    for rows in reference_bundle(shop, tables).values():
+        assert "c_nationkey" not in planned(rows)
+
+
+def _hot_customer(shop):
+    hot = F.when(F.col("id_order") % 3 == 0, F.lit(7)).otherwise(F.col("id_customer"))
+    return shop.replace(orders=shop["orders"].repartition(8).withColumn("id_customer", hot))
+
+
+def _hot_address(shop, key):
+    hot = F.when(F.col("id_order") % 3 == 0, F.lit(7)).otherwise(F.col(key))
+    return shop.replace(orders=shop["orders"].repartition(8).withColumn(key, hot))
+
+
+@pytest.mark.parametrize("key", ["id_customer", "id_address_delivery", "id_address_invoice"])
+def test_orders_of_one_hot_side_are_split_in_wide_joins(big_world, key):
+    shop = SampleShop(big_world, SMALL)
+    shop = _hot_customer(shop) if key == "id_customer" else _hot_address(shop, key)
+    df = enriched_orders(shop)
+    assert "skew=true" in executed(df)
+    assert df.count() == shop["orders"].count()
+
+
+def test_orders_of_one_hot_address_are_split_by_geography(big_world):
+    shop = _hot_address(SampleShop(big_world, SMALL), "id_address_delivery")
+    df = select_orders(shop, FilterSpec(id_country=list(range(0, 25, 2)), address_type="both"))
+    assert "skew=true" in executed(df)
+
+
+JOINING = [
+    n for n in QUERIES
+    if n[:2] in ("f_", "c_", "v_") or n.startswith(("geo_", "count_", "enriched_", "flat_", "relational_", "reference_", "estimate_"))
+]
+
+
+@pytest.mark.parametrize("name", [*JOINING, "customer_value"])
 def test_no_cross_join_and_no_python(spark, name):
     plan = planned(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan

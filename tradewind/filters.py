@@ -37,6 +37,7 @@ def _filter(kind: str, group: str):
 class FilterSpec:
     """All filters; ``None`` means absent.  Present filters are ANDed."""
 
+    # The names of all filters below, part of the published settings.
     # Dates (whole days, both ends inclusive), scope and id range.
     date_add_from: str | None = _filter("date", "common")
     date_add_to: str | None = _filter("date", "common")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tradewind.plans.entities import (
 )
 from tradewind.sources.scans import custom_tables
 from tradewind.sources.shop import Shop
+from tradewind.workspace import checkpointed
 
 
 def plan_export(
@@ -62,12 +64,14 @@ def relational_closure(
 ) -> dict[str, DataFrame]:
     """One DataFrame per entity: the roots as given, children of kept rows only.
 
-    ``store(name, rows)`` may write the rows of a parent and return the written
-    table.  Its children then join that table instead of each running the
-    parent's whole selection again, all see the same parents, their scans are
-    cut to the range of the parents' keys, and every join has an exchange on
-    both sides, which splitting a very frequent parent needs.
+    ``store(name, rows)`` writes the rows of a parent and returns the written
+    table, by default a checkpoint.  Its children then join that table instead
+    of each running the parent's whole selection again, all see the same
+    parents, their scans are cut to the range of the parents' keys, and every
+    join has an exchange on both sides, which splitting a very frequent parent
+    needs.
     """
+    store = store or (lambda _, rows: checkpointed(rows))
     plan = list(plan)
     parents = {e.parent for e in plan}
     out: dict[str, DataFrame] = {}
@@ -77,30 +81,55 @@ def relational_closure(
             rows = roots[e.name]
         else:
             rows = scan_children(shop, e, out[e.parent], ranges.get(e.parent))
-        if store is not None and (e.is_root or e.name in parents):
+        if e.is_root or e.name in parents:
             rows = store(e.name, rows)
             ranges[e.name] = tuple(rows.agg(F.min(e.pk), F.max(e.pk)).first())
         out[e.name] = rows
     return out
 
 
-def reference_bundle(shop: Shop, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def used_dimensions(shop: Shop, tables: Mapping[str, DataFrame]) -> DataFrame | None:
+    """Distinct ``(dimension, id)`` pairs that the tables hold, ids as text.
+
+    Every table is read once, whatever the number of its keys, and its pairs are
+    reduced before they meet those of other tables: a value shared by a third of
+    the rows is one row per task in the shuffle.  ``None`` without any key.
+    """
+    parts = []
+    for n, t in tables.items():
+        held = [
+            F.struct(F.lit(name).alias("dimension"), F.col(key).cast("string").alias("id"))
+            for name, (key, _) in REFERENCE_TABLES.items()
+            if name in shop and key in t.columns and n != name
+        ]
+        if held:
+            pairs = t.select(F.inline(F.array(*held)))
+            parts.append(pairs.where(F.col("id").isNotNull()).distinct())
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else None
+
+
+def reference_bundle(
+    shop: Shop,
+    tables: Mapping[str, DataFrame],
+    store: Callable[[str, DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
     """The dimension rows that the given tables use, with their label tables.
 
     A dimension is used when some table has its ``id_<dimension>`` column.  The
-    used ids are made distinct per table before they meet, so a value shared by
-    a third of the rows is one row in the shuffle.
+    used ids are gathered once and written by ``store``, by default as a
+    checkpoint; every dimension and label table joins its part of them.
     """
+    used = used_dimensions(shop, tables)
+    if used is None:
+        return {}
+    used = (store or (lambda _, rows: checkpointed(rows)))("used_dimensions", used)
     out: dict[str, DataFrame] = {}
     for name, (key, has_labels) in REFERENCE_TABLES.items():
-        users = [t for n, t in tables.items() if key in t.columns and n != name]
-        if name not in shop or not users:
+        if name not in shop or not any(key in t.columns and n != name for n, t in tables.items()):
             continue
-        used = users[0].select(F.col(key)).distinct()
-        for t in users[1:]:
-            used = used.unionByName(t.select(F.col(key)).distinct())
-        out[name] = matched(shop[name], used, key)
-        labels = f"{name}_lang"
-        if has_labels and labels in shop:
-            out[labels] = matched(shop[labels], used, key)
+        own = used.where(F.col("dimension") == name)
+        for table in (name, *([f"{name}_lang"] if has_labels else [])):
+            if table in shop:
+                ids = own.select(F.col("id").cast(shop[table].schema[key].dataType).alias(key))
+                out[table] = matched(shop[table], ids, key)
     return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.filters import FilterSpec
+from tradewind.functions.cells import free_name
 from tradewind.functions.geography import department_of
 from tradewind.operators.membership import ChildTest, matched, where_children
 from tradewind.operators.predicates import Match
@@ -47,8 +48,9 @@ def matching_addresses(
 
     Departments go through the department map, so a code the map does not
     list matches nothing.  ``department_by_prefix`` compares the postcode's
-    leading characters instead, as the wide exports do.  ``country_guard``
-    accepts a department only in the map's own country.
+    leading characters instead, three of them with a code of three, as the wide
+    exports do.  ``country_guard`` accepts a department only in the map's own
+    country, ``corsica`` reads Corsican postcodes as ``2A`` and ``2B``.
     """
     match = Match(ignore_case)
     addresses = shop["address"]
@@ -81,9 +83,15 @@ def matching_addresses(
     if departments is not None and department_by_prefix:
         leading = [d for d in departments if len(d) != 3]
         overseas = [d for d in departments if len(d) == 3]
-        addresses = addresses.where(
-            F.substring(postcode, 1, 2).isin(leading) | F.substring(postcode, 1, 3).isin(overseas)
-        )
+        start = F.substring(postcode, 1, 2)
+        if corsica:
+            named = department_of(postcode, corsica)
+            start = F.when(named.isin("2A", "2B"), named).otherwise(start)
+        three = F.substring(postcode, 1, 3)
+        addresses = addresses.where(start.isin(leading) | three.isin(overseas))
+        if country_guard:
+            code = F.when(three.isin(overseas), three).otherwise(start)
+            addresses = _in_map(shop, addresses, shop.geo_map(), code, country_guard)
         departments = None
     if departments is not None or regions is not None:
         wanted = shop.geo_map()
@@ -91,17 +99,27 @@ def matching_addresses(
             wanted = wanted.where(F.col("dept_code").isin(departments))
         if regions is not None:
             wanted = wanted.where(F.col("region_code").isin(regions))
-        addresses = addresses.withColumn("_department", department_of(postcode, corsica))
-        keys = ["_department"]
-        wanted = wanted.withColumnRenamed("dept_code", "_department")
-        if country_guard:
-            isos = shop["country"].select("id_country", F.col("iso_code").alias("country_iso"))
-            addresses = addresses.join(isos, "id_country", "left")
-            keys.append("country_iso")
-        addresses = matched(addresses, wanted.select(keys), keys).select(shop["address"].columns)
+        addresses = _in_map(shop, addresses, wanted, department_of(postcode, corsica), country_guard)
     return addresses
 
 
+def _in_map(
+    shop: Shop, addresses: DataFrame, wanted: DataFrame, code: Column, country_guard: bool
+) -> DataFrame:
+    """Addresses whose department, and with a guard whose country too, is in ``wanted``."""
+    columns = addresses.columns
+    department = free_name("_department", columns)
+    addresses = addresses.withColumn(department, code)
+    keys, pairs = [department], [F.col("dept_code").alias(department)]
+    if country_guard:
+        iso = free_name("_country_iso", columns)
+        isos = shop["country"].select("id_country", F.col("iso_code").alias(iso))
+        addresses = addresses.join(isos, "id_country", "left")
+        keys.append(iso)
+        pairs.append(F.col("country_iso").alias(iso))
+    return matched(addresses, wanted.select(*pairs), keys).select(*[f"`{c}`" for c in columns])
+
+
 def orders_by_address(orders: DataFrame, shop: Shop, spec: FilterSpec, **options) -> DataFrame:
     """Orders whose delivery, invoice or either address matches.
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradewind.functions.geography import department_of
+
 
 def newest(rows: DataFrame, time: str, key: str, limit: int) -> DataFrame:
     """The newest rows, equal times by higher key: a distributed top-k."""
@@ -21,8 +23,12 @@ def with_owner(jobs: DataFrame, employees: DataFrame) -> DataFrame:
 
 
 def top_recent_jobs(jobs: DataFrame, employees: DataFrame, limit: int = 50) -> DataFrame:
-    """The newest runs with their owner; only the kept rows are joined."""
-    return with_owner(newest(jobs, "date_add", "id_export_job", limit), employees)
+    """The newest runs with their owner, newest first; only the kept rows are joined.
+
+    A join need not keep the order, so the kept rows are sorted again after it.
+    """
+    kept = with_owner(newest(jobs, "date_add", "id_export_job", limit), employees)
+    return kept.orderBy(F.desc("date_add"), F.desc("id_export_job"))
 
 
 def jobs_by_status(jobs: DataFrame, status: str | Sequence[str], limit: int = 50) -> DataFrame:
@@ -44,9 +50,25 @@ def facet_payments(orders: DataFrame) -> DataFrame:
     return orders.where(F.col("payment") != "").select("payment").distinct().orderBy("payment")
 
 
-def facet_regions(departments: DataFrame) -> DataFrame:
-    return departments.select("region_code", "region_name").distinct().orderBy("region_name")
+def _addresses_by(departments: DataFrame, postcodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of the map with the number of postcodes that fall into it."""
+    code = department_of(F.col("postcode")).alias("dept_code")
+    counts = postcodes.select(code).groupBy("dept_code").agg(F.count("*").alias("n"))
+    joined = departments.join(counts, "dept_code", "left")
+    return joined.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("addresses"))
+
+
+def facet_regions(departments: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """All regions by name; with ``addresses`` also how many lie in each."""
+    keys = ["region_code", "region_name"]
+    if addresses is None:
+        return departments.select(keys).distinct().orderBy("region_name")
+    return _addresses_by(departments, addresses, keys).orderBy("region_name")
 
 
-def facet_departments(departments: DataFrame) -> DataFrame:
-    return departments.select("dept_code", "dept_name").distinct().orderBy("dept_code")
+def facet_departments(departments: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """All departments by code; with ``addresses`` also how many lie in each."""
+    keys = ["dept_code", "dept_name"]
+    if addresses is None:
+        return departments.select(keys).distinct().orderBy("dept_code")
+    return _addresses_by(departments, addresses, keys).orderBy("dept_code")

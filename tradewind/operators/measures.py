@@ -100,6 +100,18 @@ def estimate_by_table(
     return _union(rows(e) for e in planned_entities(shop, export_type, level))
 
 
+def estimate_total(
+    shop: Shop,
+    export_type: str = "full",
+    level: str = "essential",
+    specs: Mapping[str, FilterSpec] | None = None,
+    **options,
+) -> DataFrame:
+    """One row: the estimated rows of the whole export, from the rows per entity."""
+    rows = estimate_by_table(shop, export_type, level, specs, **options)
+    return rows.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
 def rows_per_table(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Name and row count of every table."""
     return _union(

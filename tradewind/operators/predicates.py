@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -62,12 +62,13 @@ def filled(column: Column) -> Column:
 
 
 def day_range(column: Column, first: str | None, last: str | None) -> list[Column]:
-    """From the start of ``first`` to the last second of ``last``."""
+    """From the start of ``first`` to the end of ``last``, its last fraction of a second included."""
     out = []
     if first is not None:
         out.append(column >= moment(f"{first} 00:00:00"))
     if last is not None:
-        out.append(column <= moment(f"{last} 23:59:59"))
+        following = date.fromisoformat(last) + timedelta(days=1)
+        out.append(column < moment(f"{following} 00:00:00"))
     return out
 
 

@@ -105,24 +105,29 @@ def _sides(
 
     Every key is unique there, so a customer or pick-up address with very many
     orders sits on the orders' side, which adaptive execution can split.
-    Country labels join the addresses, not the orders.
+    Country labels join the addresses, not the orders, under a name that no
+    address column has.  The state's label comes first, while rows are narrow.
     """
     countries = _labels(shop, "country_lang", "id_country", language)
     states = _labels(shop, "order_state_lang", "id_order_state", language)
-    addresses = shop["address"].join(countries, "id_country", "left")
-    addresses = addresses.withColumnRenamed("_label", "country")
     sources = [
         ("c", shop["customer"], "id_customer", "id_customer"),
-        ("d", addresses, "id_address", "id_address_delivery"),
-        ("i", addresses, "id_address", "id_address_invoice"),
+        ("d", shop["address"], "id_address", "id_address_delivery"),
+        ("i", shop["address"], "id_address", "id_address_invoice"),
     ]
-    sides = []
+    states = states.selectExpr("id_order_state AS current_state", "_label AS state")
+    sides = [(states, "current_state")]
     for alias, table, key, order_key in sources:
         wanted = [c.split(".")[1] for c in columns.values() if c.startswith(f"{alias}.")]
-        renamed = [f"`{c}` AS `{alias}.{c}`" for c in wanted]
-        sides.append((table.selectExpr(f"{key} AS {order_key}", *renamed), order_key))
-    states = states.selectExpr("id_order_state AS current_state", "_label AS state")
-    return [*sides, (states, "current_state")]
+        labelled = "country" in wanted
+        renamed = [f"`{c}` AS `{alias}.{c}`" for c in wanted if c != "country"]
+        home = ["id_country AS _home"] if labelled else []
+        table = table.selectExpr(f"{key} AS {order_key}", *renamed, *home)
+        if labelled:
+            names = countries.selectExpr("id_country AS _home", f"_label AS `{alias}.country`")
+            table = table.join(names, "_home", "left").drop("_home")
+        sides.append((table, order_key))
+    return sides
 
 
 def _decorate(orders: DataFrame, sides: list[tuple[DataFrame, str]]) -> DataFrame:

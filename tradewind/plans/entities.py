@@ -144,17 +144,21 @@ def planned_entities(
 ) -> list[Entity]:
     """Entities to export, parents first, limited to the available tables.
 
-    An unknown level means ``essential``.  ``custom`` maps the name of a
-    shop's own table to the root key it carries.
+    An unknown level means ``essential``.  A child whose parent table is not
+    available cannot be selected and is left out.  ``custom`` maps the name of
+    a shop's own table to the root key it carries.
     """
     depth = LEVELS.index(level) if level in LEVELS else 0
-    plan = [
-        e
-        for e in ENTITIES.values()
-        if e.side in sides(export_type) and LEVELS.index(e.level) <= depth and e.name in available
-    ]
+    plan: list[Entity] = []
+    for e in ENTITIES.values():
+        wanted = e.side in sides(export_type) and LEVELS.index(e.level) <= depth
+        reachable = e.is_root or e.parent in {p.name for p in plan}
+        if wanted and reachable and e.name in available:
+            plan.append(e)
     for side in sides(export_type):
         root, key = ROOT_KEYS[side]
+        if root not in available:
+            continue
         plan += [
             Entity(name, side, level, None, root, key, custom=True)
             for name, fk in (custom or {}).items()

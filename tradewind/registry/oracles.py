@@ -110,6 +110,68 @@ VIEWS = {
                l_partkey AS id_cart_rule, l_extendedprice * l_discount AS value
         FROM lineitem WHERE l_discount >= CAST(0.08 AS DOUBLE)""",
     "s_cart_rule": "SELECT p_partkey AS id_cart_rule, p_brand AS code FROM part",
+    "s_cart_rule_lang": """
+        SELECT p_partkey AS id_cart_rule, l AS id_lang, p_name AS name
+        FROM part, (VALUES (1), (2)) AS t(l)""",
+    "s_carrier": "SELECT s_suppkey AS id_carrier, s_name AS name FROM supplier",
+    "s_carrier_lang": """
+        SELECT s_suppkey AS id_carrier, l AS id_lang, s_name AS delay
+        FROM supplier, (VALUES (1), (2)) AS t(l)""",
+    "s_state": "SELECT n_nationkey AS id_state, 'S' || n_nationkey AS iso_code FROM nation",
+    "s_currency": "SELECT r_regionkey AS id_currency, r_name AS name FROM region",
+    "s_lang": "SELECT r_regionkey AS id_lang, r_name AS name FROM region",
+    "s_group": "SELECT DISTINCT o_orderpriority AS id_group, CAST(0 AS DOUBLE) AS reduction FROM orders",
+    "s_group_lang": """
+        SELECT DISTINCT o_orderpriority AS id_group, 2 AS id_lang,
+               substr(o_orderpriority, 3) AS name FROM orders""",
+    "s_order_state": """
+        SELECT DISTINCT event_type AS id_order_state, length(event_type) AS position FROM events""",
+    "s_full_history": """
+        SELECT event_id AS id_order_history, event_id // 3 AS id_order,
+               event_type AS id_order_state FROM events""",
+    "s_order_carrier": """
+        SELECT o_orderkey AS id_order_carrier, o_orderkey AS id_order,
+               o_custkey % 7 + 1 AS id_carrier FROM orders WHERE o_orderstatus <> 'P'""",
+    "s_invoice": """
+        SELECT o_orderkey AS id_order_invoice, o_orderkey AS id_order, o_totalprice AS total
+        FROM orders WHERE o_orderstatus = 'F'""",
+    "s_invoice_payment": """
+        SELECT l_orderkey AS id_order_invoice, l_orderkey * 8 + l_linenumber AS id_order_payment
+        FROM lineitem WHERE l_linestatus = 'F'""",
+    "s_slip_detail": """
+        SELECT l_partkey AS id_order_slip_detail, l_orderkey * 8 + l_linenumber AS id_order_slip,
+               l_quantity AS product_quantity FROM lineitem""",
+    "s_full_return": """
+        SELECT l_orderkey * 8 + l_linenumber AS id_order_return, l_orderkey AS id_order
+        FROM lineitem WHERE l_returnflag = 'R'""",
+    "s_return_detail": """
+        SELECT l_orderkey * 8 + l_linenumber AS id_order_return, l_partkey AS id_order_detail,
+               CAST(l_quantity AS BIGINT) AS product_quantity
+        FROM lineitem WHERE l_returnflag = 'R'""",
+    "s_message": "SELECT doc_id AS id_message, doc_id AS id_order, text AS message FROM documents",
+    "s_order_message": """
+        SELECT conv_id AS id_order_message, conv_id AS id_order, role AS name
+        FROM conversations WHERE turn = 1""",
+    "s_customer_group": "SELECT o_custkey AS id_customer, o_orderpriority AS id_group FROM orders",
+    "s_cart": "SELECT o_orderkey AS id_cart, o_custkey AS id_customer FROM orders",
+    "s_cart_product": """
+        SELECT l_orderkey AS id_cart, l_partkey AS id_product, l_quantity AS quantity
+        FROM lineitem""",
+    "s_thread": """
+        SELECT conv_id AS id_customer_thread, conv_id AS id_customer
+        FROM conversations WHERE turn = 0""",
+    "s_customer_message": """
+        SELECT conv_id * 1000 + turn AS id_customer_message, conv_id AS id_customer_thread,
+               text AS message FROM conversations""",
+    "s_connections": """
+        SELECT event_id AS id_connections, user_id AS id_customer, ts AS date_add
+        FROM events WHERE event_type = 'purchase'""",
+    "s_guest": """
+        SELECT event_id AS id_guest, user_id AS id_customer, ts AS date_add
+        FROM events WHERE event_type = 'view'""",
+    "s_loyalty": """
+        SELECT event_id AS id_loyalty, user_id AS id_customer, value AS points
+        FROM events WHERE event_type = 'signup'""",
     "s_slip": """
         SELECT l_orderkey * 8 + l_linenumber AS id_order_slip, l_orderkey AS id_order
         FROM lineitem WHERE l_returnflag = 'A'""",
@@ -257,6 +319,23 @@ def _value(outer: str) -> str:
             FROM s_customer c) v"""
 
 
+_ENRICHED_NAMES = """id_order reference id_customer current_state payment total_paid_tax_incl
+    total_paid_tax_excl total_products total_shipping_tax_incl date_add valid order_status_name
+    customer_email customer_firstname customer_lastname customer_company customer_siret
+    delivery_company delivery_firstname delivery_lastname delivery_address1 delivery_address2
+    delivery_postcode delivery_city delivery_country delivery_phone delivery_phone_mobile
+    invoice_company invoice_firstname invoice_lastname invoice_address1 invoice_address2
+    invoice_postcode invoice_city invoice_country invoice_phone""".split()
+_FLAT_NAMES = """id_order order_reference order_date order_status payment_method
+    total_paid_tax_incl total_paid_tax_excl total_products total_shipping customer_id
+    customer_email customer_firstname customer_lastname customer_company customer_newsletter
+    delivery_firstname delivery_lastname delivery_company delivery_address1 delivery_address2
+    delivery_postcode delivery_city delivery_country delivery_phone invoice_firstname
+    invoice_lastname invoice_company invoice_address1 invoice_address2 invoice_postcode
+    invoice_city invoice_country invoice_phone product_id product_name product_reference
+    product_quantity product_price_tax_incl product_price_tax_excl""".split()
+
+
 _LTV = "cents / 100.0"
 _BASKET = """CASE WHEN order_count = 0 THEN 0
              ELSE ((2 * cents + order_count) // (2 * order_count)) / 100.0 END"""
@@ -299,9 +378,154 @@ def _guard(text: str) -> str:
         THEN '''' || {text} ELSE {text} END"""
 
 
-_USED = f"""(SELECT DISTINCT g.* FROM s_address a {_MAP})"""
+def _text(column: str) -> str:
+    """A cell as it stands in a file: plain digits, no formula, nothing for NULL."""
+    t = f"coalesce(CAST({column} AS VARCHAR), '')"
+    plain = f"""(CASE WHEN regexp_full_match({t}, '-?[0-9](\\.[0-9]+)?e[-+][0-9]+')
+        THEN rtrim(CAST(CAST({t} AS DECIMAL(38, 20)) AS VARCHAR), '0') ELSE {t} END)"""
+    return _guard(plain)
+
+
+def _cells(entity: str, view: str, columns: str, where: str = "true") -> str:
+    """``entity, row`` for the rows of a view ``v``, all the columns joined as text."""
+    row = ", '|', ".join(_text(f"v.{c}") for c in columns.split())
+    return f"SELECT '{entity}' AS entity, concat({row}) AS row FROM {view} v WHERE {where}"
+
+
+# Columns of the shop tables in their order.
+_ORDER_COLUMNS = """id_order reference id_shop id_carrier id_lang id_customer id_currency
+    id_address_delivery id_address_invoice current_state payment module shipping_number
+    total_discounts_tax_incl total_paid_tax_incl total_paid_tax_excl total_products
+    total_shipping_tax_incl invoice_number valid date_add date_upd"""
+_DETAIL_COLUMNS = """id_order_detail id_order product_id product_attribute_id product_name
+    product_reference product_ean13 product_quantity reduction_percent reduction_amount
+    total_price_tax_incl total_price_tax_excl"""
+_CUSTOMER_COLUMNS = """id_customer id_shop id_default_group id_lang company siret firstname
+    lastname email passwd newsletter optin secure_key active deleted date_add acctbal home_nation"""
+_ADDRESS_COLUMNS = """id_address id_country id_state id_customer company lastname firstname
+    address1 address2 postcode city phone phone_mobile vat_number"""
+_BUYERS = "v.id_customer IN (SELECT id_customer FROM buyer)"
+_CHOSEN = "v.id_order IN (SELECT id_order FROM chosen)"
+
+
+def _dimensions(uses: dict[str, str]) -> list[str]:
+    """Dimension rows in use, given per dimension a query for the ids."""
+    shapes = {
+        "country": ("id_country", "id_country iso_code id_zone", "id_country id_lang name"),
+        "state": ("id_state", "id_state iso_code", None),
+        "group": ("id_group", "id_group reduction", "id_group id_lang name"),
+        "carrier": ("id_carrier", "id_carrier name", "id_carrier id_lang delay"),
+        "order_state": ("id_order_state", "id_order_state position", None),
+        "cart_rule": ("id_cart_rule", "id_cart_rule code", "id_cart_rule id_lang name"),
+        "currency": ("id_currency", "id_currency name", None),
+        "lang": ("id_lang", "id_lang name", None),
+    }
+    out = []
+    for name, ids in uses.items():
+        key, columns, labels = shapes[name]
+        out.append(_cells(name, f"s_{name}", columns, f"v.{key} IN ({ids})"))
+        if name == "order_state":
+            out.append(_cells("order_state_lang", "s_state_lang", "id_order_state id_lang name", f"v.{key} IN ({ids})"))
+        elif labels:
+            out.append(_cells(f"{name}_lang", f"s_{name}_lang", labels, f"v.{key} IN ({ids})"))
+    return out
+
+
+_ORDER_CHILDREN = {
+    "order_detail": ("s_detail", _DETAIL_COLUMNS),
+    "order_history": ("s_full_history", "id_order_history id_order id_order_state"),
+    "order_carrier": ("s_order_carrier", "id_order_carrier id_order id_carrier"),
+    "order_invoice": ("s_invoice", "id_order_invoice id_order total"),
+    "order_slip": ("s_slip", "id_order_slip id_order"),
+    "order_cart_rule": ("s_coupon", "id_order_cart_rule id_order id_cart_rule value"),
+}
+_ORDERS_COMPLETE = [
+    _cells("orders", "s_orders", _ORDER_COLUMNS, _CHOSEN),
+    *[_cells(name, view, columns, _CHOSEN) for name, (view, columns) in _ORDER_CHILDREN.items()],
+    _cells(
+        "order_payment", "s_payment", "id_order_payment order_reference amount",
+        "v.order_reference IN (SELECT reference FROM chosen)",
+    ),
+]
+_ORDERS_ULTRA = [
+    *_ORDERS_COMPLETE,
+    _cells("order_return", "s_full_return", "id_order_return id_order", _CHOSEN),
+    _cells("order_message", "s_order_message", "id_order_message id_order name", _CHOSEN),
+    _cells("message", "s_message", "id_message id_order message", _CHOSEN),
+    _cells(
+        "order_invoice_payment", "s_invoice_payment", "id_order_invoice id_order_payment",
+        f"id_order_invoice IN (SELECT id_order_invoice FROM s_invoice v WHERE {_CHOSEN})",
+    ),
+    _cells(
+        "order_slip_detail", "s_slip_detail", "id_order_slip_detail id_order_slip product_quantity",
+        f"id_order_slip IN (SELECT id_order_slip FROM s_slip v WHERE {_CHOSEN})",
+    ),
+    _cells(
+        "order_return_detail", "s_return_detail", "id_order_return id_order_detail product_quantity",
+        f"id_order_return IN (SELECT id_order_return FROM s_full_return v WHERE {_CHOSEN})",
+    ),
+]
+_CUSTOMERS_COMPLETE = [
+    _cells("customer", "s_customer", _CUSTOMER_COLUMNS, _BUYERS),
+    _cells("address", "s_address", _ADDRESS_COLUMNS, _BUYERS),
+    _cells("customer_group", "s_customer_group", "id_customer id_group", _BUYERS),
+]
+_CUSTOMERS_ULTRA = [
+    *_CUSTOMERS_COMPLETE,
+    _cells("cart", "s_cart", "id_cart id_customer", _BUYERS),
+    _cells("customer_thread", "s_thread", "id_customer_thread id_customer", _BUYERS),
+    _cells("connections", "s_connections", "id_connections id_customer date_add", _BUYERS),
+    _cells("guest", "s_guest", "id_guest id_customer date_add", _BUYERS),
+    _cells(
+        "cart_product", "s_cart_product", "id_cart id_product quantity",
+        f"id_cart IN (SELECT id_cart FROM s_cart v WHERE {_BUYERS})",
+    ),
+    _cells(
+        "customer_message", "s_customer_message", "id_customer_message id_customer_thread message",
+        f"id_customer_thread IN (SELECT id_customer_thread FROM s_thread v WHERE {_BUYERS})",
+    ),
+]
 
 
+def _written(select: str, names: list[str]) -> str:
+    """The columns of a query as they are read back from files."""
+    columns = ", ".join(f"nullif({_text(f'e.{n}')}, '') AS {n}" for n in names)
+    return f"SELECT {columns} FROM ({select}) e"
+
+
+def _used_by(where_orders: str) -> dict[str, str]:
+    """Per dimension the ids that orders, addresses, coupons, groups and histories hold."""
+    return {
+        "country": f"SELECT v.id_country FROM s_address v WHERE {_BUYERS}",
+        "state": f"SELECT v.id_state FROM s_address v WHERE {_BUYERS}",
+        "group": f"SELECT v.id_group FROM s_customer_group v WHERE {_BUYERS}",
+        "carrier": f"SELECT id_carrier FROM chosen",
+        "order_state": f"SELECT v.id_order_state FROM s_full_history v WHERE {_CHOSEN}",
+        "cart_rule": f"SELECT v.id_cart_rule FROM s_coupon v WHERE {_CHOSEN}",
+        "currency": "SELECT id_currency FROM chosen",
+        "lang": "SELECT id_lang FROM chosen" + where_orders,
+    }
+
+
+def _selected(orders: str | None, customers: str | None, parts: list[str]) -> str:
+    sets = [f"chosen AS (SELECT * FROM s_orders o WHERE {orders})"] if orders else []
+    sets += [f"buyer AS (SELECT * FROM s_customer c WHERE {customers})"] if customers else []
+    return f"WITH {', '.join(sets)} " + " UNION ALL ".join(parts)
+
+
+_ESTIMATE = f"""
+        SELECT 'customer' AS entity, count(*) AS rows FROM s_customer c WHERE {_ACTIVE}
+        UNION ALL SELECT 'address', count(*) FROM customer
+        UNION ALL SELECT 'customer_group', count(*) FROM orders
+        UNION ALL SELECT 'orders', count(*) FROM s_orders o WHERE {_PERIOD}
+        UNION ALL SELECT 'order_detail', count(*) FROM lineitem
+        UNION ALL SELECT 'order_history', count(*) FROM events
+        UNION ALL SELECT 'order_payment', count(*) FROM s_payment
+        UNION ALL SELECT 'order_carrier', count(*) FROM orders WHERE o_orderstatus <> 'P'
+        UNION ALL SELECT 'order_invoice', count(*) FROM orders WHERE o_orderstatus = 'F'
+        UNION ALL SELECT 'order_slip', count(*) FROM s_slip
+        UNION ALL SELECT 'order_cart_rule', count(*) FROM s_coupon"""
+
 _BODIES = {
     "scan_orders": f"SELECT * FROM s_orders o WHERE {_PERIOD} AND id_order > 20",
     "scan_customers": f"SELECT * FROM s_customer c WHERE {_ACTIVE}",
@@ -328,39 +552,28 @@ _BODIES = {
     "csv_header_clean": """
         SELECT o_orderkey AS id_order, o_totalprice AS total____,
                o_orderpriority AS mode_paiement FROM orders""",
-    "csv_safe_cells": """
-        SELECT CAST(id_customer AS VARCHAR) AS id_customer, coalesce(company, '') AS company,
-               CASE WHEN acctbal < 0 AND CAST(round(acctbal) AS BIGINT) <> 0
-                    THEN '''' ELSE '' END || CAST(round(acctbal) AS BIGINT) AS balance
+    "csv_safe_cells": f"""
+        SELECT {_text("id_customer")} AS id_customer, {_text("company")} AS _dirty,
+               {_text("CAST(round(acctbal) AS BIGINT)")} AS balance,
+               {_text("round(acctbal) * CAST(10000.5 AS DOUBLE)")} AS large,
+               {_text("round(acctbal) / 1048576")} AS small
         FROM s_customer""",
     "csv_bom": "SELECT count(*) > 0 AS marked FROM orders",
     "column_projection": "SELECT email, '' AS birthday, id_customer FROM s_customer",
-    "export_relational": f"""
-        WITH buyer AS (SELECT * FROM s_customer c WHERE {_ACTIVE}),
-             chosen AS (SELECT * FROM s_orders o WHERE {_FILTERED})
-        SELECT 'customer' AS entity, id_customer AS id FROM buyer
-        UNION ALL SELECT 'address', id_address FROM s_address JOIN buyer USING (id_customer)
-        UNION ALL SELECT 'customer_group', o_custkey FROM orders
-            JOIN buyer ON o_custkey = id_customer
-        UNION ALL SELECT 'loyalty', event_id FROM events JOIN buyer ON id_customer = user_id
-            WHERE event_type = 'signup'
-        UNION ALL SELECT 'orders', id_order FROM chosen
-        UNION ALL SELECT 'order_detail', id_order_detail FROM s_detail
-            JOIN chosen USING (id_order)
-        UNION ALL SELECT 'order_payment', id_order_payment FROM s_payment
-            JOIN chosen ON order_reference = reference
-        UNION ALL SELECT 'order_cart_rule', id_order_cart_rule FROM s_coupon
-            JOIN chosen USING (id_order)
-        UNION ALL SELECT 'country', id_country FROM s_country WHERE id_country IN (
-            SELECT a.id_country FROM s_address a JOIN buyer USING (id_customer))""",
+    "export_relational": _selected(
+        _FILTERED,
+        _ACTIVE,
+        [
+            *_ORDERS_COMPLETE,
+            *_CUSTOMERS_COMPLETE,
+            _cells("loyalty", "s_loyalty", "id_loyalty id_customer points", _BUYERS),
+            *_dimensions(_used_by(" UNION SELECT id_lang FROM buyer")),
+        ],
+    ),
     "export_incremental": """
         SELECT 0 AS run, id_order FROM s_orders WHERE current_state = 'O' AND id_order > 1000""",
-    "export_enriched": f"""
-        SELECT id_order, total_paid_tax_incl, order_status_name, customer_email,
-               delivery_country, invoice_postcode FROM ({_enriched(1, _WIDE)}) e""",
-    "export_flat": f"""
-        SELECT id_order, product_id, product_price_tax_incl, order_status, customer_email,
-               nullif(invoice_city, '') AS invoice_city FROM ({_flat(1, _WIDE)}) e""",
+    "export_enriched": _written(_enriched(1, _WIDE), _ENRICHED_NAMES),
+    "export_flat": _written(_flat(1, _WIDE), _FLAT_NAMES),
     "file_manifest": """
         WITH chosen AS (SELECT * FROM s_orders WHERE date_add >= '1999-01-01')
         SELECT 'orders' AS entity_name, count(*) AS row_count, true AS described FROM chosen
@@ -375,6 +588,14 @@ _BODIES = {
     "flat_orders_by_department": _flat(
         1, "left(ad.postcode, 2) IN ('20', '05') OR ad.postcode LIKE '973%'"
     ),
+    "flat_orders_corsica": _flat(
+        1,
+        "(left(ad.postcode, 2) = '05' OR left(ad.postcode, 3) IN ('200', '201'))",
+    ),
+    "flat_orders_guarded": _flat(
+        1,
+        "(left(ad.postcode, 2) IN ('05', '06', '07') OR ad.postcode LIKE '973%') AND ad.id_country < 6",
+    ),
     "f_shop": _orders("id_shop = 2"),
     "f_shop_multi": _orders("id_shop IN (1, 3)"),
     "f_date_add": _orders("date_add >= '1997-03-01' AND date_add < '1998-03-01'"),
@@ -477,7 +698,7 @@ _BODIES = {
     "geo_corsica": _orders(_delivered("left(a.postcode, 3) IN ('200', '201', '202', '206')")),
     "geo_country_guard": f"""
         SELECT a.id_address, a.postcode FROM s_address a {_MAP}
-        WHERE g.region_code IN ('OCC', 'ARA', 'IDF', 'NAQ') AND a.id_country = 5""",
+        WHERE g.region_code IN ('OCC', 'ARA', 'IDF', 'NAQ') AND a.id_country < 6""",
     "geo_customer": f"""
         SELECT id_customer, id_default_group, email, active FROM s_customer c
         WHERE {_home("a.id_country IN (2, 4, 9, 15, 18) AND a.postcode LIKE '05%'")}""",
@@ -506,8 +727,7 @@ _BODIES = {
     "c_incomplete_address": _customers("NOT " + _home(_COMPLETE)),
     "c_reachable": _customers(_home(_PHONE) + " AND NOT " + _home("a.vat_number <> ''")),
     "c_prospect": _customers(
-        """NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.id_customer
-                       AND o_orderdate >= '2000-06-01')"""
+        "NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey - o_custkey % 3 = c.id_customer)"
     ),
     "c_last_visit": _customers(
         """(SELECT max(ts) FROM events WHERE event_type = 'purchase'
@@ -517,57 +737,15 @@ _BODIES = {
         "(SELECT count(*) FROM s_slip x WHERE x.id_order = o.id_order) >= 2"
     ),
     "anti_join": _orders("NOT " + _line("true")),
-    "relational_closure": f"""
-        WITH chosen AS (SELECT * FROM s_orders o WHERE {_PERIOD}),
-             slip AS (SELECT id_order_slip FROM s_slip JOIN chosen USING (id_order))
-        SELECT 'orders' AS entity, id_order AS id FROM chosen
-        UNION ALL SELECT 'order_detail', id_order_detail FROM s_detail
-            WHERE id_order IN (SELECT id_order FROM chosen)
-        UNION ALL SELECT 'order_payment', id_order_payment FROM s_payment
-            WHERE order_reference IN (SELECT reference FROM chosen)
-        UNION ALL SELECT 'order_slip', id_order_slip FROM slip
-        UNION ALL SELECT 'order_slip_detail', l_partkey FROM lineitem
-            WHERE l_orderkey * 8 + l_linenumber IN (SELECT id_order_slip FROM slip)
-        UNION ALL SELECT 'order_invoice_payment', l_orderkey * 8 + l_linenumber FROM lineitem
-            WHERE l_linestatus = 'F' AND l_orderkey IN (
-                SELECT id_order FROM chosen WHERE current_state = 'F')
-        UNION ALL SELECT 'message', doc_id FROM documents
-            WHERE doc_id IN (SELECT id_order FROM chosen)""",
-    "relational_closure_customers": f"""
-        WITH chosen AS (SELECT * FROM s_customer c WHERE {_ACTIVE}),
-             cart AS (SELECT o_orderkey FROM orders
-                      WHERE o_custkey IN (SELECT id_customer FROM chosen))
-        SELECT 'customer' AS entity, id_customer AS id FROM chosen
-        UNION ALL SELECT 'cart', o_orderkey FROM cart
-        UNION ALL SELECT 'cart_product', l_partkey FROM lineitem
-            WHERE l_orderkey IN (SELECT o_orderkey FROM cart)
-        UNION ALL SELECT 'customer_message', conv_id * 1000 + turn FROM conversations
-            WHERE conv_id IN (SELECT t.conv_id FROM conversations t
-                              JOIN chosen ON t.conv_id = id_customer WHERE t.turn = 0)""",
+    "relational_closure": _selected(_PERIOD, None, _ORDERS_ULTRA),
+    "relational_closure_customers": _selected(None, _ACTIVE, _CUSTOMERS_ULTRA),
     "closure_by_reference": f"""
         SELECT * FROM s_payment WHERE order_reference IN (
             SELECT reference FROM s_orders o WHERE {_FILTERED})""",
     "job_owner_join": """
         SELECT j.*, c.firstname, c.lastname FROM s_job j
         LEFT JOIN s_customer c ON c.id_customer = j.id_employee""",
-    "reference_bundle": f"""
-        WITH chosen AS (SELECT * FROM s_orders o WHERE {_PERIOD}),
-             home AS (SELECT a.* FROM s_address a JOIN s_customer c USING (id_customer)
-                      WHERE {_ACTIVE})
-        SELECT 'country' AS entity, id_country AS id FROM s_country
-            WHERE id_country IN (SELECT id_country FROM home)
-        UNION ALL SELECT 'country_lang', id_country FROM s_country_lang
-            WHERE id_country IN (SELECT id_country FROM home)
-        UNION ALL SELECT 'state', n_nationkey FROM nation
-            WHERE n_nationkey IN (SELECT id_state FROM home)
-        UNION ALL SELECT 'carrier', s_suppkey FROM supplier
-            WHERE s_suppkey IN (SELECT id_carrier FROM chosen)
-        UNION ALL SELECT 'cart_rule', p_partkey FROM part
-            WHERE p_partkey IN (SELECT id_cart_rule FROM s_coupon WHERE value >= 8000)
-        UNION ALL SELECT 'currency', r_regionkey FROM region
-            WHERE r_regionkey IN (SELECT id_currency FROM chosen)
-        UNION ALL SELECT 'lang', r_regionkey FROM region
-            WHERE r_regionkey IN (SELECT id_lang FROM chosen)""",
+    "reference_bundle": _selected(_PERIOD, _ACTIVE, _dimensions(_used_by(""))),
     "count_orders": f"SELECT count(*) AS n FROM s_orders o WHERE {_FILTERED}",
     "count_customers": f"SELECT count(*) AS n FROM s_customer c WHERE {_ACTIVE}",
     "count_customers_in_group": """
@@ -602,19 +780,10 @@ _BODIES = {
             ('order_carrier', 'o', 2), ('order_invoice', 'o', 2),
             ('order_invoice_payment', 'o', 2), ('order_slip', 'o', 2),
             ('order_slip_detail', 'o', 3), ('order_cart_rule', 'o', 2),
-            ('order_return', 'o', 2), ('message', 'o', 2)) AS t(entity, side, ratio)""",
-    "estimate_by_table": f"""
-        SELECT 'customer' AS entity, count(*) AS rows FROM s_customer c WHERE {_ACTIVE}
-        UNION ALL SELECT 'address', count(*) FROM customer
-        UNION ALL SELECT 'customer_group', count(*) FROM orders
-        UNION ALL SELECT 'orders', count(*) FROM s_orders o WHERE {_PERIOD}
-        UNION ALL SELECT 'order_detail', count(*) FROM lineitem
-        UNION ALL SELECT 'order_history', count(*) FROM events
-        UNION ALL SELECT 'order_payment', count(*) FROM s_payment
-        UNION ALL SELECT 'order_carrier', count(*) FROM orders WHERE o_orderstatus <> 'P'
-        UNION ALL SELECT 'order_invoice', count(*) FROM orders WHERE o_orderstatus = 'F'
-        UNION ALL SELECT 'order_slip', count(*) FROM s_slip
-        UNION ALL SELECT 'order_cart_rule', count(*) FROM s_coupon""",
+            ('order_return', 'o', 2), ('message', 'o', 2), ('guest', 'c', 2),
+            ('order_message', 'o', 2), ('order_return_detail', 'o', 3)) AS t(entity, side, ratio)""",
+    "estimate_by_table": _ESTIMATE,
+    "estimate_total": f"SELECT sum(rows) AS rows FROM ({_ESTIMATE}) t",
     "job_progress": """
         SELECT l_orderkey AS id_export_job,
                least(100, round(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)
@@ -695,8 +864,14 @@ _BODIES = {
     "facet_payments": """
         SELECT DISTINCT payment FROM s_orders WHERE payment IS NOT NULL AND payment <> ''
         ORDER BY payment""",
-    "facet_regions": f"SELECT DISTINCT region_code, region_name FROM {_USED} u ORDER BY 2",
-    "facet_departments": f"SELECT DISTINCT dept_code, dept_name FROM {_USED} u ORDER BY 1",
+    "facet_regions": f"""
+        SELECT g.region_code, g.region_name, count(a.id_address) AS addresses
+        FROM geo_map g LEFT JOIN s_address a ON g.dept_code = {_DEPARTMENT}
+        GROUP BY ALL ORDER BY 2""",
+    "facet_departments": f"""
+        SELECT g.dept_code, g.dept_name, count(a.id_address) AS addresses
+        FROM geo_map g LEFT JOIN s_address a ON g.dept_code = {_DEPARTMENT}
+        GROUP BY ALL ORDER BY 1""",
     "orphan_rows": """
         SELECT d.id_order, d.id_order_detail, d.product_id FROM s_detail d
         LEFT JOIN (SELECT id_order FROM s_orders WHERE date_add >= '1998-01-01') o

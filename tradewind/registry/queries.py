@@ -14,13 +14,13 @@ from tradewind.functions.geography import department_of
 from tradewind.operators import closure, integrity, listing, measures, wide
 from tradewind.operators.customers import select_customers
 from tradewind.operators.geo import customers_by_address, matching_addresses
-from tradewind.operators.membership import ChildTest, children_by_value, where_children
+from tradewind.operators.membership import ChildTest, where_children
 from tradewind.operators.orders import select_orders
 from tradewind.operators.value import add_customer_value
 from tradewind.plans.entities import ENTITIES
 from tradewind.sinks.csvfiles import CsvOptions, project_columns, read_csv, write_csv
 from tradewind.sinks.exports import export_enriched, export_flat, export_relational
-from tradewind.sinks.manifest import file_manifest
+from tradewind.sinks.manifest import file_facts, file_manifest
 from tradewind.sources import scans
 from tradewind.sources.shop import Shop
 from tradewind.sources.standin import SampleShop, sample_table
@@ -184,40 +184,40 @@ def _tagged(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-CLOSURE_KEYS = {
-    "orders": "id_order",
-    "order_detail": "id_order_detail",
-    "order_payment": "id_order_payment",
-    "order_slip": "id_order_slip",
-    "order_slip_detail": "id_order_slip_detail",
-    "order_invoice_payment": "id_order_payment",
-    "message": "id_message",
-}
+def _rows_as_text(tables: dict[str, DataFrame]) -> DataFrame:
+    """``entity, row`` over several tables: all columns of a row, joined."""
+    parts = []
+    for name, rows in tables.items():
+        cells_ = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns]
+        parts.append(rows.select(F.lit(name).alias("entity"), F.concat_ws("|", *cells_).alias("row")))
+    return reduce(DataFrame.unionByName, parts)
+
 
+def _as_exported(tables: dict[str, DataFrame]) -> DataFrame:
+    return _rows_as_text({name: cells.csv_safe_cells(rows) for name, rows in tables.items()})
 
-def _closure(shop: Shop) -> dict[str, DataFrame]:
+
+def _closure(shop: Shop) -> DataFrame:
+    """All columns of all tables below the orders of two years."""
     plan = closure.plan_export(shop, "orders", "ultra")
-    return closure.relational_closure(shop, plan, {"orders": select_orders(shop, PERIOD)})
+    roots = {"orders": select_orders(shop, PERIOD)}
+    return _as_exported(closure.relational_closure(shop, plan, roots))
 
 
 def _closure_by_customer(shop: Shop) -> DataFrame:
-    """Two steps down: customers, their carts, the products in those carts."""
+    """All columns of all tables below the active customers."""
     plan = closure.plan_export(shop, "customers", "ultra")
-    tables = closure.relational_closure(shop, plan, {"customer": select_customers(shop, ACTIVE)})
-    keys = {"customer": "id_customer", "cart": "id_cart", "cart_product": "id_product"}
-    return _tagged(tables, {**keys, "customer_message": "id_customer_message"})
+    roots = {"customer": select_customers(shop, ACTIVE)}
+    return _as_exported(closure.relational_closure(shop, plan, roots))
 
 
 def _reference_bundle(shop: Shop) -> DataFrame:
-    tables = {
-        "orders": select_orders(shop, PERIOD),
-        "address": select_customers(shop, ACTIVE)
-        .select("id_customer")
-        .join(shop["address"], "id_customer"),
-        "order_cart_rule": shop["order_cart_rule"].where("value >= 8000"),
-    }
-    bundle = closure.reference_bundle(shop, tables)
-    return _tagged(bundle, {n: bundle[n].columns[0] for n in bundle})
+    """The dimensions that orders, addresses and the orders' coupons use."""
+    plan = closure.plan_export(shop, "full", "complete")
+    roots = {"orders": select_orders(shop, PERIOD), "customer": select_customers(shop, ACTIVE)}
+    tables = closure.relational_closure(shop, plan, roots)
+    used = ("orders", "address", "order_cart_rule", "customer_group", "order_history")
+    return _as_exported(closure.reference_bundle(shop, {n: tables[n] for n in used}))
 
 
 def _custom_table_closure(shop: Shop) -> DataFrame:
@@ -228,9 +228,10 @@ def _custom_table_closure(shop: Shop) -> DataFrame:
 
 
 def _prospects(shop: Shop) -> DataFrame:
-    recent = shop["orders"].where("date_add >= timestamp_ntz'2000-06-01 00:00:00'")
+    """All orders, dealt to every third customer."""
+    dealt = shop["orders"].withColumn("id_customer", F.expr("id_customer - id_customer % 3"))
     spec = FilterSpec(is_prospect=True)
-    return select_customers(shop.replace(orders=recent), spec).select(CUSTOMER_COLUMNS)
+    return select_customers(shop.replace(orders=dealt), spec).select(CUSTOMER_COLUMNS)
 
 
 def _last_visit(shop: Shop) -> DataFrame:
@@ -262,13 +263,6 @@ def _value_filter(*measures_: str, **filters) -> Query:
     return _over(lambda shop: _value_output(select_customers(shop, spec), *measures_))
 
 
-def _used_departments(shop: Shop) -> DataFrame:
-    """The department map limited to departments with an address."""
-    code = department_of(F.col("postcode")).alias("code")
-    codes = shop["address"].select("id_address", code)
-    return children_by_value(shop.geo_map(), codes, "dept_code", "code", "id_address")
-
-
 def _department_of(shop: Shop) -> DataFrame:
     postcode = F.col("postcode")
     return shop["address"].select(
@@ -283,10 +277,15 @@ def _geo_corsica(shop: Shop) -> DataFrame:
     return select_orders(shop, spec, corsica=True).select(ORDER_COLUMNS)
 
 
+def _with_france(shop: Shop) -> Shop:
+    """The shop with nations below 6 as country "FR"."""
+    iso = F.when(F.col("id_country") < 6, F.lit("FR")).otherwise(F.col("iso_code"))
+    return shop.replace(country=shop["country"].withColumn("iso_code", iso))
+
+
 def _geo_guarded(shop: Shop) -> DataFrame:
-    """Departments count only in country "FR", here nation 5."""
-    iso = F.when(F.col("id_country") == 5, F.lit("FR")).otherwise(F.col("iso_code"))
-    guarded = shop.replace(country=shop["country"].withColumn("iso_code", iso))
+    """Departments count only in country "FR"."""
+    guarded = _with_france(shop)
     spec = FilterSpec(region_code=["OCC", "ARA", "IDF", "NAQ"])
     return matching_addresses(guarded, spec, country_guard=True).select("id_address", "postcode")
 
@@ -414,8 +413,16 @@ def _csv_safe_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _csv_safe_cells(shop: Shop) -> DataFrame:
-    rows = shop["customer"].select("id_customer", "company", F.round("acctbal").cast("long"))
-    return cells.csv_safe_cells(rows.toDF("id_customer", "company", "balance"))
+    """Text, whole numbers, and money from far below 0.001 to above 10 million."""
+    balance = F.col("acctbal")
+    rows = shop["customer"].select(
+        "id_customer",
+        F.col("company").alias("_dirty"),
+        F.round(balance).cast("long").alias("balance"),
+        (F.round(balance) * 10_000.5).alias("large"),
+        (F.round(balance) / 1_048_576).alias("small"),
+    )
+    return cells.csv_safe_cells(rows)
 
 
 def _csv_header_clean(shop: Shop) -> DataFrame:
@@ -445,9 +452,7 @@ def _csv_bom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every written file starts with the byte order mark."""
     path = scratch_dir(spark, "csv_bom")
     write_csv(_shop(spark, sf_dir)["orders"], path, CsvOptions(rows_per_file=5000))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    marked = F.hex(F.substring("content", 1, 3)) == "EFBBBF"
-    return files.agg(F.bool_and(marked).alias("marked"))
+    return file_facts(spark, path).agg(F.bool_and("marked").alias("marked"))
 
 
 def _sink_csv_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,23 +465,14 @@ def _sink_csv_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dataset with all its columns, as text, as it stands in the files."""
     path = scratch_dir(spark, "export_relational")
     specs = {"orders": FILTERED, "customers": ACTIVE}
     done = export_relational(
         _shop(spark, sf_dir), path, "full", "complete", specs, include_custom_tables=True
     )
-    keys = {
-        "customer": "id_customer",
-        "address": "id_address",
-        "customer_group": "id_customer",
-        "loyalty": "id_loyalty",
-        "orders": "id_order",
-        "order_detail": "id_order_detail",
-        "order_payment": "id_order_payment",
-        "order_cart_rule": "id_order_cart_rule",
-        "country": "id_country",
-    }
-    return _tagged({n: read_csv(spark, done.outputs[n]) for n in keys}, keys)
+    read = {n: read_csv(spark, p, columns=done.columns[n]) for n, p in done.outputs.items()}
+    return _rows_as_text(read)
 
 
 def _export_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,8 +485,9 @@ def _export_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_dir(spark, "export_incremental")
         done = export_relational(shop, path, "orders", specs=spec, cursors=cursors)
         cursors = done.cursors
+        back = read_csv(spark, done.outputs["orders"], columns=done.columns["orders"])
         parts.append(
-            read_csv(spark, done.outputs["orders"]).select(
+            back.select(
                 F.lit(run).alias("run"), F.col("id_order").cast("long").alias("id_order")
             )
         )
@@ -500,27 +497,13 @@ def _export_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _export_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "export_enriched")
     done = export_enriched(_shop(spark, sf_dir), path, WIDE, ordered=True)
-    return read_csv(spark, done.outputs["orders_enriched"]).select(
-        F.col("id_order").cast("long").alias("id_order"),
-        F.col("total_paid_tax_incl").cast("double").alias("total_paid_tax_incl"),
-        "order_status_name",
-        "customer_email",
-        "delivery_country",
-        "invoice_postcode",
-    )
+    return read_csv(spark, done.outputs["orders_enriched"], columns=list(wide.ENRICHED))
 
 
 def _export_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "export_flat")
     done = export_flat(_shop(spark, sf_dir), path, WIDE)
-    return read_csv(spark, done.outputs["export_complet"]).select(
-        F.col("id_order").cast("long").alias("id_order"),
-        F.col("product_id").cast("long").alias("product_id"),
-        F.col("product_price_tax_incl").cast("double").alias("product_price_tax_incl"),
-        "order_status",
-        "customer_email",
-        "invoice_city",
-    )
+    return read_csv(spark, done.outputs["export_complet"], columns=list(wide.FLAT))
 
 
 def _file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -606,6 +589,14 @@ QUERIES: dict[str, Query] = {
     "flat_orders_by_department": _over(
         lambda s: wide.flat_orders(s, FilterSpec(dept_code=["20", "05", "973"]))
     ),
+    "flat_orders_corsica": _over(
+        lambda s: wide.flat_orders(s, FilterSpec(dept_code=["2A", "05"]), corsica=True)
+    ),
+    "flat_orders_guarded": _over(
+        lambda s: wide.flat_orders(
+            _with_france(s), FilterSpec(dept_code=["20", "05", "06", "07", "973"]), country_guard=True
+        )
+    ),
     # Filters.
     **{name: _orders(**filters) for name, filters in ORDER_FILTERS.items()},
     **{name: _customers(**filters) for name, filters in CUSTOMER_FILTERS.items()},
@@ -627,7 +618,7 @@ QUERIES: dict[str, Query] = {
             s["orders"], s["order_detail"], "id_order", [ChildTest(wanted=False)]
         ).select(ORDER_COLUMNS)
     ),
-    "relational_closure": _over(lambda s: _tagged(_closure(s), CLOSURE_KEYS)),
+    "relational_closure": _over(_closure),
     "relational_closure_customers": _over(_closure_by_customer),
     "closure_by_reference": _over(
         lambda s: closure.scan_children(s, ENTITIES["order_payment"], select_orders(s, FILTERED))
@@ -657,6 +648,11 @@ QUERIES: dict[str, Query] = {
             s, "full", "complete", {"orders": PERIOD, "customers": ACTIVE}
         )
     ),
+    "estimate_total": _over(
+        lambda s: measures.estimate_total(
+            s, "full", "complete", {"orders": PERIOD, "customers": ACTIVE}
+        )
+    ),
     "job_progress": _over(_job_progress),
     "rows_per_table": lambda spark, sf_dir: measures.rows_per_table(
         {n: sample_table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer", "events")}
@@ -691,8 +687,8 @@ QUERIES: dict[str, Query] = {
         .orderBy("id_order", "id_order_detail", "product_id")
     ),
     "facet_payments": _over(lambda s: listing.facet_payments(s["orders"])),
-    "facet_regions": _over(lambda s: listing.facet_regions(_used_departments(s))),
-    "facet_departments": _over(lambda s: listing.facet_departments(_used_departments(s))),
+    "facet_regions": _over(lambda s: listing.facet_regions(s.geo_map(), s["address"])),
+    "facet_departments": _over(lambda s: listing.facet_departments(s.geo_map(), s["address"])),
     # Integrity and retention.
     "orphan_rows": _over(
         lambda s: integrity.orphan_rows(s["order_detail"], _recent_parents(s), "id_order").select(

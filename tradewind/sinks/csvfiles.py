@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.functions.cells import csv_header_clean, csv_safe_cells
+from tradewind.functions.cells import clean_header, csv_header_clean, csv_safe_cells
 from tradewind.functions.masking import anonymize
 
 BOM = "﻿"
@@ -18,8 +18,10 @@ BOM = "﻿"
 class CsvOptions:
     """How CSV datasets are written and read back.
 
-    ``rows_per_file`` bounds the size of one part file, ``writes_at_once`` the
-    number of datasets of one export that are written at the same time.
+    ``rows_per_file`` bounds the rows of one part file.  ``bytes_per_file`` also
+    bounds its size, about, by the mean length of the rows, which takes one more
+    pass over them.  ``writes_at_once`` is the number of datasets of one export
+    that are written at the same time.
     """
 
     sep: str = ";"
@@ -29,6 +31,7 @@ class CsvOptions:
     anonymize: bool = False
     compression: str | None = None
     rows_per_file: int = 1_000_000
+    bytes_per_file: int | None = None
     writes_at_once: int = 4
 
     def dialect(self) -> dict[str, object]:
@@ -63,6 +66,14 @@ def csv_ready(
     return csv_header_clean(df)
 
 
+def _rows_per_file(ready: DataFrame, options: CsvOptions) -> int:
+    if options.bytes_per_file is None:
+        return options.rows_per_file
+    width = sum((F.octet_length(F.col(f"`{c}`").cast("string")) + 1 for c in ready.columns), F.lit(0))
+    mean = ready.agg(F.avg(width)).first()[0] or 1
+    return max(1, min(options.rows_per_file, int(options.bytes_per_file / mean)))
+
+
 def write_csv(
     df: DataFrame,
     path: str,
@@ -81,13 +92,23 @@ def write_csv(
     # A line that holds one empty cell would be blank, which readers skip.
     empty = options.quote * 2 if len(ready.columns) == 1 else ""
     writer = ready.write.mode(mode).options(**options.dialect(), emptyValue=empty)
-    writer = writer.option("maxRecordsPerFile", options.rows_per_file)
+    writer = writer.option("maxRecordsPerFile", _rows_per_file(ready, options))
     if options.compression:
         writer = writer.option("compression", options.compression)
     writer.csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:
-    """A written dataset as text columns; empty cells are NULL."""
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    options: CsvOptions = CsvOptions(),
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """A written dataset as text columns; empty cells are NULL.
+
+    With ``columns`` the files need not be opened to learn their header.
+    """
     reader = spark.read.options(**options.dialect(), emptyValue="", multiLine=True)
+    if columns is not None:
+        reader = reader.schema(", ".join(f"`{clean_header(c)}` string" for c in columns))
     return reader.csv(path)

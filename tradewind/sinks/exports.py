@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -14,23 +15,20 @@ from tradewind.operators.closure import plan_export, reference_bundle, relationa
 from tradewind.operators.customers import select_customers
 from tradewind.operators.orders import select_orders
 from tradewind.operators.wide import enriched_orders, flat_orders
-from tradewind.plans.entities import ENTITIES
+from tradewind.plans.entities import ENTITIES, NATIVE_COLUMNS, REFERENCE_TABLES
 from tradewind.sinks.csvfiles import CsvOptions, write_csv
 from tradewind.sources.scans import after, custom_columns
 from tradewind.sources.shop import Shop
-from tradewind.workspace import scratch_dir
+from tradewind.workspace import remove
 
 
 @dataclass(frozen=True)
 class Export:
-    """Written datasets by entity, and the last exported id of each root.
-
-    ``scratch`` lists the stored parents, which the caller may remove.
-    """
+    """Written datasets by entity, their columns, and the last exported id of each root."""
 
     outputs: dict[str, str]
     cursors: dict[str, int] = field(default_factory=dict)
-    scratch: list[str] = field(default_factory=list)
+    columns: dict[str, list[str]] = field(default_factory=dict)
 
 
 def _write_all(datasets: Mapping[str, DataFrame], options: CsvOptions) -> None:
@@ -54,14 +52,20 @@ def export_relational(
     include_custom_columns: bool = True,
     include_reference: bool = True,
     cursors: Mapping[str, int] | None = None,
+    ordered: bool = False,
+    scratch: str | None = None,
     **selection,
 ) -> Export:
     """Write one dataset per entity below ``path``.
 
     ``specs`` holds a filter specification per side, ``customers`` and
     ``orders``.  A specification with ``incremental`` set continues after the
-    cursor of its root.  Roots and other parents are stored once as Parquet in
-    the shared scratch folder; their dataset and their children read that.
+    cursor of its root.  Roots and other parents, and the ids of dimensions in
+    use, are stored once as Parquet below ``scratch``, by default a folder next
+    to the output, and removed when all is written; their datasets and children
+    read that.  So a table without children runs at most twice: for its dataset
+    and for the dimensions it uses.  ``ordered`` sorts every dataset by its key
+    over all part files.
     """
     specs = specs or {}
     plan = plan_export(shop, export_type, level, include_custom_tables)
@@ -76,22 +80,27 @@ def export_relational(
         roots[e.name] = after(rows, e.pk, start) if spec.incremental else rows
         keys[e.name] = (e.pk, start or 0)
 
-    scratch = []
+    scratch = f"{scratch or f'{path}/_scratch'}/{uuid4().hex}"
 
     def store(name: str, rows: DataFrame) -> DataFrame:
-        scratch.append(scratch_dir(shop.spark, name))
-        rows.write.parquet(scratch[-1])
-        return shop.spark.read.parquet(scratch[-1])
+        rows.write.parquet(f"{scratch}/{name}")
+        return shop.spark.read.parquet(f"{scratch}/{name}")
 
     tables = relational_closure(shop, plan, roots, store)
     if not include_custom_columns:
         for name, rows in tables.items():
-            if name in ENTITIES:
+            if name in NATIVE_COLUMNS:
                 own = set(custom_columns(rows, name).columns) - {ENTITIES[name].pk}
-                if len(own) < len(rows.columns) - 1:
-                    tables[name] = rows.drop(*own)
+                tables[name] = rows.drop(*own)
+    sort_keys = {e.name: e.pk or e.fk for e in plan}
     if include_reference:
-        tables.update(reference_bundle(shop, tables))
+        bundle = reference_bundle(shop, tables, store)
+        if clashes := sorted(set(bundle) & set(tables)):
+            raise ValueError(f"two sources claim one dataset: {', '.join(clashes)}")
+        tables.update(bundle)
+        sort_keys |= {n: REFERENCE_TABLES[n.removesuffix("_lang")][0] for n in bundle}
+    if ordered:
+        tables = {name: rows.orderBy(sort_keys[name]) for name, rows in tables.items()}
 
     outputs = {name: f"{path}/{name}" for name in tables}
     _write_all({outputs[name]: rows for name, rows in tables.items()}, options)
@@ -99,7 +108,9 @@ def export_relational(
         name: tables[name].agg(F.coalesce(F.max(key), F.lit(start))).first()[0]
         for name, (key, start) in keys.items()
     }
-    return Export(outputs, last, scratch)
+    columns = {name: rows.columns for name, rows in tables.items()}
+    remove(shop.spark, scratch)
+    return Export(outputs, last, columns)
 
 
 def _after_cursor(shop: Shop, spec: FilterSpec | None, cursor: int | None) -> Shop:

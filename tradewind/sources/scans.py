@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.plans.entities import ENTITIES, NATIVE_COLUMNS
+from tradewind.plans.entities import ENTITIES, NATIVE_COLUMNS, REFERENCE_TABLES
 from tradewind.sources.shop import Shop
 
 
@@ -52,5 +52,6 @@ def custom_columns(
 
 
 def custom_tables(shop: Shop, fk: str) -> list[str]:
-    """Tables outside the known tree that carry the foreign key."""
-    return sorted(t for t in shop if t not in ENTITIES and fk in shop[t].columns)
+    """Tables that carry the foreign key and are neither in the known tree nor dimensions."""
+    known = {*ENTITIES, *REFERENCE_TABLES, *(f"{name}_lang" for name in REFERENCE_TABLES)}
+    return sorted(t for t in shop if t not in known and fk in shop[t].columns)

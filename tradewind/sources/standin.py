@@ -136,6 +136,35 @@ _VIEWS: dict[str, tuple[str, str | None, list[str]]] = {
     "zone": ("region", None, ["r_regionkey AS id_zone", "r_name AS name"]),
     "currency": ("region", None, ["r_regionkey AS id_currency", "r_name AS name"]),
     "lang": ("region", None, ["r_regionkey AS id_lang", "r_name AS name"]),
+    "carrier_lang": (
+        "supplier",
+        None,
+        ["s_suppkey AS id_carrier", "explode(array(1, 2)) AS id_lang", "s_name AS delay"],
+    ),
+    "cart_rule_lang": (
+        "part",
+        None,
+        ["p_partkey AS id_cart_rule", "explode(array(1, 2)) AS id_lang", "p_name AS name"],
+    ),
+    "guest": (
+        "events",
+        "event_type = 'view'",
+        ["event_id AS id_guest", "user_id AS id_customer", "ts AS date_add"],
+    ),
+    "order_message": (
+        "conversations",
+        "turn = 1",
+        ["conv_id AS id_order_message", "conv_id AS id_order", "role AS name"],
+    ),
+    "order_return_detail": (
+        "lineitem",
+        "l_returnflag = 'R'",
+        [
+            "l_orderkey * 8 + l_linenumber AS id_order_return",
+            "l_partkey AS id_order_detail",
+            "CAST(l_quantity AS BIGINT) AS product_quantity",
+        ],
+    ),
     "carrier": ("supplier", None, ["s_suppkey AS id_carrier", "s_name AS name"]),
     "product": (
         "part",
@@ -298,6 +327,25 @@ def sample_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _distinct(source: str, *columns: str) -> str:
+    names = ", ".join(columns)
+    return f"SELECT DISTINCT {names} FROM {{{source}}}"
+
+
+# Small dimensions: the distinct values of a sample column, as SQL over it.
+_DIMENSIONS: dict[str, tuple[str, str]] = {
+    "group": ("orders", _distinct("orders", "o_orderpriority AS id_group", "0D AS reduction")),
+    "group_lang": (
+        "orders",
+        _distinct("orders", "o_orderpriority AS id_group", "2 AS id_lang", "substr(o_orderpriority, 3) AS name"),
+    ),
+    "order_state": (
+        "events",
+        _distinct("events", "event_type AS id_order_state", "length(event_type) AS position"),
+    ),
+}
+
+
 def _order_state_lang(spark: SparkSession) -> DataFrame:
     return spark.sql(
         """
@@ -321,6 +369,8 @@ class SampleShop(Shop):
             return self.view(name, sample(_VIEWS[name][0]))
 
         tables = {name: partial(opened, name) for name in _VIEWS}
+        for name, (source, query) in _DIMENSIONS.items():
+            tables[name] = lambda s=source, q=query: spark.sql(q, **{s: sample(s)})
         tables["order_state_lang"] = partial(_order_state_lang, spark)
         super().__init__(spark, tables)
         self.sample_dir = sample_dir

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
+    """A fresh path in a folder that all executors share.
 
-    Only a local session may go without that setting.
+    ``spark.checkpoint.dir`` names it; without that setting it lies in the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tradewind-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{base.rstrip('/')}/{label}-{uuid4().hex}"
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read from there; Spark removes them with the frame."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_dir(rows.sparkSession, "checkpoints"))
+    return rows.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
