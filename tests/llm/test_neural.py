@@ -1,0 +1,84 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import SMALL
+from tests.llm import odd
+from tradewind.llm import neural
+from tradewind.llm.neural import END, Model, Vocabulary, score_texts
+from tradewind.llm.queries import QUERIES
+
+
+def tokens(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [*re.findall(r"[^\x20\x09-\x0D]+", lower), END]
+
+
+def base_scores(rows, taught):
+    """Per row: tokens, known ones and the score, from plain counts."""
+    counts = Counter(t for text, teach in zip(rows, taught) if teach for t in tokens(text))
+    n, v = sum(counts.values()), len(counts)
+    return n, [
+        (len(ts), sum(counts[t] > 0 for t in ts), sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts))
+        for ts in map(tokens, rows)
+    ]
+
+
+@pytest.mark.parametrize("known", [neural.KNOWN, 40])
+def test_base_scores(spark, monkeypatch, known):
+    monkeypatch.setattr(neural.learn_vocabulary, "__defaults__", (16, known))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    taught = [zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for r in rows]
+    n, want = base_scores([r.text for r in rows], taught)
+    got = sorted(QUERIES["op2_lm"](spark, SMALL).collect(), key=lambda r: r.doc_id)
+    assert [r.held_out for r in got] == [not t for t in taught]
+    for r, (length, seen, score) in zip(got, want, strict=True):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (length, seen, n)
+        assert math.isclose(r.base_score, score, rel_tol=1e-9)
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    got = QUERIES["op2_lm"](spark, "/root/testdata/sf0.01").where("held_out").collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_probabilities_add_up_to_one():
+    vocabulary = Vocabulary(np.arange(5, dtype=np.uint64), np.array([9, 4, 3, 1, 1]), np.array([0, 1, -1, 2, -1]), 18, 5, 3)
+    assert vocabulary.frequencies.tolist() == [10.0, 5.0, 2.0, 7.0]
+    model = Model.fresh(vocabulary.frequencies, 6)
+    contexts = np.array([[a, b] for a in range(5) for b in range(5)])
+    assert np.allclose(np.exp(model.log_probabilities(contexts)).sum(axis=1), 1)
+    # In the shared class: the two tokens of it that are known, and an unseen one.
+    assert math.isclose((3 + 1 + 1 + 1 + 1) / vocabulary.frequencies[-1], 1)
+
+
+def test_training_learns_what_follows_what():
+    rng = np.random.default_rng(0)
+    follow = {0: 3, 1: 2, 2: 0, 3: 1, 4: 4}
+    before = rng.integers(0, 5, 60_000)
+    after = np.where(rng.random(60_000) < 0.8, np.array([follow[b] for b in before]), rng.integers(0, 5, 60_000))
+    contexts = np.stack([before, rng.integers(0, 6, 60_000)], axis=1)
+    frequencies = np.bincount(after, minlength=5).astype(float)
+    model = Model.fresh(frequencies)
+    start = model.log_probabilities(contexts[:5000])[np.arange(5000), after[:5000]].mean()
+    model.train(contexts, after, np.log(frequencies / frequencies.sum()).astype(np.float32), rng, model.steps())
+    end = model.log_probabilities(contexts[:5000])[np.arange(5000), after[:5000]].mean()
+    assert start < -1.5 and end > -0.95  # the entropy is about 0.84 nats
+
+
+def test_odd_rows(spark):
+    rows = score_texts(odd.documents(spark), F.lit(True)).collect()
+    _, want = base_scores([t for _, t, *_ in odd.TEXTS], [True] * len(odd.TEXTS))
+    assert sorted((r.n_tokens, r.n_known) for r in rows) == sorted((n, k) for n, k, _ in want)
+    assert np.allclose(sorted(r.base_score for r in rows), sorted(s for *_, s in want))
+    assert score_texts(odd.no_documents(spark), F.lit(True)).collect() == []
+    untaught = score_texts(odd.documents(spark), F.lit(False)).collect()
+    assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in untaught} == {(0, 0, 0.0, 0.0)}
+    assert sorted(r.n_tokens for r in untaught) == sorted(n for n, *_ in want)

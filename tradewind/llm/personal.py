@@ -136,7 +136,7 @@ def learn_tagger(documents: DataFrame, most_windows: int = MOST_WINDOWS) -> Tagg
     tagger = Tagger()
     if rows.num_rows:
         x, y = (np.frombuffer(b"".join(rows[c].to_pylist()), np.uint8).reshape(-1, WINDOW).astype(np.int64) for c in ("x", "y"))
-        tagger.fit(x, y)
+        tagger.fit(x, y, epochs=min(12, max(4, 4 * MOST_WINDOWS // len(x))))  # few windows are read more often
     else:
         tagger.p["out_bias"][0] = 50.0  # nothing was learned, nothing is found
     return tagger
