@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tradewind.llm import store
 
+#: A table of labels goes to every task if it has at most so many rows, 16 bytes each; else it is shuffled.
+MOST_SENT = 250_000
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node in ``links`` (u, v); the component is its least node.
@@ -16,20 +19,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     many links is no more than a partial minimum per task.
     """
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
-    both = store.checkpoint(both.distinct())
-    labels = store.checkpoint(
+    both, _ = store.compact(both.distinct())
+    labels, n = store.compact(
         both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("component"))
     )
+    send = F.broadcast if n <= MOST_SENT else lambda df: df
     while True:
         seen = (
-            both.join(labels.select(F.col("node").alias("v"), "component"), "v")
+            both.join(send(labels.select(F.col("node").alias("v"), "component")), "v")
             .groupBy(F.col("u").alias("node"))
             .agg(F.min("component").alias("seen"))
         )
-        lower = labels.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("component"))
+        lower = seen.join(send(labels), "node").select("node", F.col("component").alias("old"), F.least("component", "seen").alias("component"))
         target = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        jumped = store.checkpoint(
-            lower.join(target, "component").select("node", "old", F.least("component", "next").alias("component"))
+        jumped, _ = store.compact(
+            lower.join(send(target), "component").select("node", "old", F.least("component", "next").alias("component"))
         )
         labels = jumped.select("node", "component")
         if jumped.where("old <> component").limit(1).count() == 0:

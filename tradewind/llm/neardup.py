@@ -5,9 +5,12 @@ zeros and the ``MANTISSA`` bits behind the first one.  An empty bucket borrows f
 its number alone picks, so the chance that two registers agree stays the similarity for sets of
 any size.  Runs of registers form bands; documents that share a band are candidates.
 
-Copies with one and the same set are one node from the start.  Within a band that several nodes
-share, all are compared with a few pivots first; then only nodes of different components are, so a
-large group of near copies costs a few comparisons per member and no link is lost.
+Copies with one and the same set are one node from the start.  Every node is compared with one
+pivot of its bands first; then, in each band, those outside the largest component with one of them.
+Bands whose nodes are still of several components are finished exactly: small ones by all pairs
+across components, large ones through what sets their nodes apart from the most linked node of
+their largest component (`_beside_pivot`).
+So a large group of near copies costs a few comparisons per member and no link is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm import store
@@ -26,7 +29,10 @@ from tradewind.llm.components import connected_components
 from tradewind.llm.text import BLANK_SEPARATED, byte_slices, mix, shingles, signed, tokenize, unsigned, utf8
 
 MANTISSA = 10
-PIVOT_ROUNDS = 3
+#: Bands of at most so many nodes compare all their pairs.
+SMALL_BAND = 16
+#: Pairs are sent to every task if they are at most so many, 16 bytes each; else both sides are shuffled.
+MOST_SENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -96,6 +102,10 @@ def _band_keys(registers: np.ndarray, run: int) -> np.ndarray:
     return mix(out)
 
 
+def _running_sum(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+
+
 def sketches(documents: DataFrame, kind: Similarity) -> DataFrame:
     """(id, n, f1, f2, registers, bands): the set's size, its 128-bit hash, its sketch and band keys."""
 
@@ -106,7 +116,7 @@ def sketches(documents: DataFrame, kind: Similarity) -> DataFrame:
                 at, grams = distinct_shingles(tokenize(data, offsets, BLANK_SEPARATED), kind.words)
                 rows = last - first
                 bounds = np.searchsorted(at, np.arange(rows + 1))
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(grams, s), dtype=np.uint64)]) for s in (11, 13)]
+                sums = [_running_sum(mix(grams, s)) for s in (11, 13)]
                 regs = sketch(at, grams, rows, kind.registers)
                 keys = _band_keys(regs, kind.run)
                 yield store.table(
@@ -124,7 +134,7 @@ def sketches(documents: DataFrame, kind: Similarity) -> DataFrame:
 
 
 def shingle_sets(documents: DataFrame, kind: Similarity, wanted) -> DataFrame:
-    """(id, grams) of the documents whose id passes the broadcast bitmap ``wanted``."""
+    """(id, f1, grams) of the documents whose id passes the broadcast bitmap ``wanted``; f1 as in `sketches`."""
 
     def scan(batches):
         for batch in batches:
@@ -135,13 +145,15 @@ def shingle_sets(documents: DataFrame, kind: Similarity, wanted) -> DataFrame:
             for first, last, data, offsets in byte_slices(batch.column(1)):
                 at, grams = distinct_shingles(tokenize(data, offsets, BLANK_SEPARATED), kind.words)
                 bounds = np.searchsorted(at, np.arange(last - first + 1))
+                sums = _running_sum(mix(grams, 11))
                 yield store.table(
                     id=ids.slice(first, last - first),
+                    f1=signed(sums[bounds[1:]] - sums[bounds[:-1]]),
                     grams=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(grams))),
                 )
 
     source = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text"))
-    return source.mapInArrow(scan, "id bigint, grams array<bigint>")
+    return source.mapInArrow(scan, "id bigint, f1 bigint, grams array<bigint>")
 
 
 def _hashed(ids: DataFrame) -> DataFrame:
@@ -181,68 +193,165 @@ def _likely(pairs: DataFrame, nodes: DataFrame, kind: Similarity) -> DataFrame:
     return sized.mapInArrow(scan, "u bigint, v bigint")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, kind: Similarity) -> DataFrame:
+def _confirmed(pairs: DataFrame, n_pairs: int, sets: DataFrame, kind: Similarity) -> DataFrame:
     """Pairs whose whole sets have the similarity."""
     u, v = (sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}_grams")) for x in "uv")
+    if n_pairs <= MOST_SENT:
+        # Few pairs go to the sets, and only the sets of pairs are shuffled.
+        joined = u.join(F.broadcast(pairs), "u").join(v.join(F.broadcast(pairs), "v"), ["u", "v"])
+    else:
+        joined = pairs.join(u, "u").join(v, "v")
     common = F.size(F.array_intersect("u_grams", "v_grams"))
     return (
-        pairs.join(u, "u")
-        .join(v, "v")
-        .select("u", "v", F.size("u_grams").alias("a"), F.size("v_grams").alias("b"), common.alias("common"))
+        joined.select("u", "v", F.size("u_grams").alias("a"), F.size("v_grams").alias("b"), common.alias("common"))
         .where(100 * F.col("common") >= kind.percent * (F.col("a") + F.col("b") - F.col("common")))
         .select("u", "v")
     )
 
 
+def _unfinished(labelled: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """Bands of several components: their size, largest component (home) and its most linked node (pivot)."""
+    degrees = reduce(DataFrame.union, links).select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    hub = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("node")).alias("least")))
+    hubs = labelled.select("node", "component").distinct().join(degrees, "node", "left").groupBy("component").agg((-hub["least"]).alias("hub"))
+    parts = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).join(hubs, "component")
+    largest = F.max(F.struct("n", "hub", F.col("component").alias("home")))
+    bands = parts.groupBy("band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), largest.alias("most"))
+    unfinished = bands.where("parts > 1").select("band", "size", F.col("most.hub").alias("pivot"), F.col("most.home").alias("home"))
+    return store.compact(unfinished)[0]
+
+
+def _beside_pivot(clusters: DataFrame, sets: DataFrame, kind: Similarity) -> DataFrame:
+    """Pairs (u, v) that may be linked among the nodes that share a pivot, but not yet a component.
+
+    ``home`` is the pivot's component; nodes linked to the pivot itself are paired with it.  Other
+    pairs matter only if one of the two is not linked to the pivot.  Let D(x) be the symmetric difference of x and the pivot p, and k = (1 - t) / (1 + t), so that x
+    and y are linked if and only if |x ^ y| <= k (|x| + |y|).  As |x ^ y| = |D(x)| + |D(y)| - 2
+    |D(x) & D(y)|, a link needs that D(x) and D(y) share at least (|D(x)| + |D(y)| - k (|x| + |y|))
+    / 2 elements.  If y is not linked to p, |D(y)| > k (|y| + |p|), and that is more than (|D(x)| +
+    k (|p| - |x|)) / 2: about half of D(x).  As |D(y)| >= |D(x)| - |x ^ y|, it is also at least
+    |D(x)| - k (|x| + |y|).  Of sets that must share so many, the rarest elements already share
+    one, so x meets y on its rarer part only, and edits of its own are rarer than the places edited.
+    """
+    k = (100 - kind.percent) / (100 + kind.percent)
+    own = sets.select(F.col("id").alias("node"), F.col("grams").alias("g"))
+    theirs = sets.select(F.col("id").alias("pivot"), F.col("grams").alias("p"))
+    apart = (
+        clusters.join(own, "node")
+        .join(theirs, "pivot")
+        .select(
+            "pivot",
+            "home",
+            "node",
+            "component",
+            F.size("g").alias("n"),
+            F.size("p").alias("np"),
+            F.concat(F.array_except("g", "p"), F.array_except("p", "g")).alias("d"),
+        )
+        .withColumn("away", F.size("d"))
+    )
+    slack = 1e-9
+    linked = F.col("away") <= k * (F.col("n") + F.col("np")) + slack
+    half = F.floor((F.col("away") + k * (F.col("np") - F.col("n"))) / 2 - slack) + 1
+    # Distances from p of linked sets differ by k (|x| + |y|) at most, and |y| is |x| / t at most.
+    near = F.ceil(F.col("away") - k * F.col("n") * (1 + 100 / kind.percent) - slack)
+    most = F.greatest(F.lit(1), near, F.ceil((F.col("away") - k * (F.col("n") + F.col("np"))) / 2 - slack))
+    apart, _ = store.compact(
+        apart.select(
+            "pivot",
+            "home",
+            "node",
+            "component",
+            "n",
+            "away",
+            # Not linked by a hair may be either; it is then treated as both.
+            (F.col("away") > k * (F.col("n") + F.col("np")) - slack).alias("stray"),
+            linked.alias("linked"),
+            (F.col("away") - F.greatest(F.lit(1), near, half) + 1).alias("short"),
+            (F.col("away") - most + 1).alias("long"),
+            F.explode_outer("d").alias("e"),
+        )
+    )
+    own_pivot = apart.where("linked AND component <> home").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
+    often = apart.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("often"))
+    ranked = apart.join(often, ["pivot", "e"]).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("pivot", "node").orderBy("often", "e"))
+    )
+    ranked, _ = store.compact(ranked.where("rank <= short OR (stray AND rank <= long)"))
+    own = {"node": "", "component": "_c", "n": "_n", "away": "_away"}
+    side = lambda rows, x: rows.select("pivot", "e", *[F.col(c).alias(x + end) for c, end in own.items()])
+    short, long = ranked.where("rank <= short"), ranked.where("stray AND rank <= long")
+    mixed = side(short.where("linked"), "u").join(side(long, "v"), ["pivot", "e"])
+    strays = side(short.where("stray"), "u").join(side(short.where("stray"), "v"), ["pivot", "e"]).where("u < v")
+    # Again: distances from the pivot of linked sets differ by k (|u| + |v|) at most.
+    near = F.abs(F.col("u_away") - F.col("v_away")) <= k * (F.col("u_n") + F.col("v_n")) + slack
+    others = mixed.union(strays).where(near & (F.col("u_c") != F.col("v_c"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return others.union(own_pivot.distinct())
+
+
 def near_duplicates(documents: DataFrame, kind: Similarity = Similarity()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents``.
 
     A set holds the distinct runs of ``kind.words`` words (cut at ASCII blanks, A-Z in lower case);
     a shorter text is one run; a null, empty or blank one has no set and is linked with nothing.
     component_id is the least doc_id reachable through links; kept says that it is the row's own.
-    Rows that repeat a doc_id are one document, linked by whatever any of them is linked by.  A row
+    Rows that repeat a doc_id are one document, compared by the set whose hash is least.  A row
     without doc_id cannot be named: it takes no part, has a null component and is kept.  Other
     columns are not read.
     """
     spark = documents.sparkSession
     scanned = store.checkpoint(sketches(documents, kind))
     usable = scanned.where("n > 0 AND id IS NOT NULL")
-    classes = usable.groupBy("f1", "f2").agg(F.min("id").alias("node"))
-    members = store.checkpoint(usable.join(classes, ["f1", "f2"]).select("id", "node"))
-    nodes = store.checkpoint(
-        usable.join(classes.withColumn("id", F.col("node")), ["f1", "f2", "id"]).select("node", "n", "registers", "bands").dropDuplicates(["node"])
-    )
+    own = usable.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("f"), F.count(F.lit(1)).alias("rows"))
+    own = store.checkpoint(own.select("id", "f.f1", "f.f2", "rows"))
+    repeats = own.where("rows > 1").limit(1).count() > 0
+    classes = own.groupBy("f1", "f2").agg(F.min("id").alias("node"))
+    members, _ = store.compact(own.join(classes, ["f1", "f2"]).select("id", "node"))
+    keys = ["f1", "f2", "id"]
+    nodes = usable.join(classes.withColumn("id", F.col("node")), keys)
+    nodes = store.checkpoint((nodes.dropDuplicates(keys) if repeats else nodes).select("node", "f1", "n", "registers", "bands"))
     banded = nodes.select(F.explode("bands").alias("band"), "node")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    banded = store.checkpoint(banded.join(shared, "band"))
+    banded, _ = store.compact(banded.join(shared, "band"))
     wanted = spark.sparkContext.broadcast(store.bitmap(_hashed(banded.select("node").distinct()), "h"))
-    sets = store.checkpoint(shingle_sets(documents, kind, wanted).dropDuplicates(["id"]))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return _confirmed(_likely(pairs, nodes, kind), sets, kind)
-
-    links, tested = [], []
-    labelled = banded.withColumn("component", F.col("node"))
-    for turn in range(PIVOT_ROUNDS):
-        order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("place"), F.col("node"))
-        pivots = labelled.groupBy("band").agg(F.min(order).alias("p"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-        pivots = pivots.where("c1 <> c2").select("band", F.col("p.node").alias("pivot"))
-        pairs = labelled.join(pivots, "band").where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.union, tested), ["u", "v"], "left_anti")
-        pairs = store.checkpoint(pairs)
-        tested.append(pairs)
-        links.append(store.checkpoint(confirm(pairs)))
-        components = connected_components(reduce(DataFrame.union, links))
-        labelled = store.checkpoint(
-            banded.join(components, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        )
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band")
-    rest = labelled.join(open_bands, "band")
+    active, _ = store.compact(nodes.join(banded.select("node").distinct(), "node").select("node", "f1", "n", "registers"), 20_000)
+    sets = shingle_sets(documents, kind, wanted)
+    if repeats:
+        sets = sets.join(active.select(F.col("node").alias("id"), "f1"), ["id", "f1"]).dropDuplicates(["id", "f1"])
+    sets, _ = store.compact(sets.select("id", "grams"), 4_000)
+    links: list[DataFrame] = []
+
+    def confirm(pairs: DataFrame) -> None:
+        likely, n = store.compact(_likely(pairs.distinct(), active, kind))
+        links.append(store.compact(_confirmed(likely, n, sets, kind))[0])
+
+    def in_components() -> DataFrame:
+        """The bands' nodes with the components that all links so far make."""
+        components, n = store.compact(connected_components(reduce(DataFrame.union, links)))
+        components = F.broadcast(components) if n <= MOST_SENT else components
+        labelled = banded.join(components, "node", "left")
+        return store.compact(labelled.select("band", "node", F.coalesce("component", "node").alias("component")))[0]
+
+    ordered = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+    least = banded.groupBy("band").agg(F.min("node").alias("pivot"))
+    first = banded.join(least, "band").groupBy("node").agg(F.min("pivot").alias("pivot"))
+    confirm(first.where("node <> pivot").select(*ordered("node", "pivot")))
+
+    labelled = in_components()
+    unfinished = _unfinished(labelled, links)
+    strays = labelled.join(unfinished.select("band", "home"), "band").where("component <> home")
+    least = strays.groupBy("band").agg(F.min(F.struct("node", "component")).alias("p"))
+    second = strays.join(least, "band").where("component <> p.component")
+    confirm(second.select(*ordered("node", F.col("p.node"))))
+
+    labelled = in_components()
+    unfinished = _unfinished(labelled, links)
+    rest = labelled.join(unfinished.where(F.col("size") <= SMALL_BAND).select("band"), "band")
     left, right = (rest.select("band", F.col("node").alias(x), F.col("component").alias(f"{x}_c")) for x in "uv")
-    pairs = left.join(right, "band").where("u < v AND u_c <> v_c").select("u", "v").distinct()
-    pairs = store.checkpoint(pairs.join(reduce(DataFrame.union, tested), ["u", "v"], "left_anti"))
-    links.append(store.checkpoint(confirm(pairs)))
+    pairs = left.join(right, "band").where("u < v AND u_c <> v_c").select("u", "v")
+    beside = labelled.join(unfinished.where(F.col("size") > SMALL_BAND).select("band", "pivot", "home"), "band").where("node <> pivot")
+    pairs = pairs.union(_beside_pivot(beside.select("pivot", "home", "node", "component").distinct(), sets, kind))
+    confirm(pairs)
     same_id = members.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     components = connected_components(reduce(DataFrame.union, links).union(same_id))
     return (

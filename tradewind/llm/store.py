@@ -27,6 +27,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
+    """A checkpoint in partitions of about ``rows`` rows, and its number of rows.
+
+    Small results then do not go through later shuffles in hundreds of tiny pieces.
+    """
+    out = checkpoint(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // rows))), n
+
+
 def bitmap(values: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """One bit for each value of a column of 64-bit hashes, ``2**bits`` bits whatever the rows.
 
