@@ -321,8 +321,14 @@ def near_duplicates(documents: DataFrame, kind: Similarity = Similarity()) -> Da
     sets, _ = store.compact(sets.select("id", "grams"), 4_000)
     links: list[DataFrame] = []
 
+    tested: list[DataFrame] = []
+
     def confirm(pairs: DataFrame) -> None:
-        likely, n = store.compact(_likely(pairs.distinct(), active, kind))
+        pairs = pairs.distinct()
+        if tested:  # no pair is compared twice
+            pairs = pairs.join(reduce(DataFrame.union, tested), ["u", "v"], "left_anti")
+        tested.append(store.compact(pairs)[0])
+        likely, n = store.compact(_likely(tested[-1], active, kind))
         links.append(store.compact(_confirmed(likely, n, sets, kind))[0])
 
     def in_components() -> DataFrame:
