@@ -82,3 +82,38 @@ def test_odd_rows(spark):
     untaught = score_texts(odd.documents(spark), F.lit(False)).collect()
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in untaught} == {(0, 0, 0.0, 0.0)}
     assert sorted(r.n_tokens for r in untaught) == sorted(n for n, *_ in want)
+
+
+def test_rare_words_depend_on_their_context(spark):
+    """Words past the 1,024 most frequent ones: of equal counts, the one that follows is likelier."""
+    common = [f"c{i}" for i in range(1200)]
+    rng = np.random.default_rng(5)
+    taught = [" ".join(rng.permutation(common)) for _ in range(60)]
+    pairs = [(f"a{i}", f"b{i}") for i in range(40)]
+    taught += [" ".join(w for k in rng.permutation(40) for w in pairs[k]) for _ in range(50)]
+    right = [f"{a} {b}" for a, b in pairs]
+    wrong = [f"{a} {pairs[i - 1][1]}" for i, (a, _) in enumerate(pairs)]
+    docs = odd.with_rows(spark, taught + right + wrong)
+    got = odd.by_id(score_texts(docs, F.col("doc_id") < len(taught)))
+    at = len(taught)
+    assert math.isclose(got[at].base_score, got[at + 40].base_score)
+    assert sum(got[at + i].score for i in range(40)) > sum(got[at + 40 + i].score for i in range(40)) + 1e-6
+
+
+def test_every_counted_token_has_a_leaf(spark, monkeypatch):
+    """Tokens that are not known by heart share leaves, whose number grows with theirs."""
+    monkeypatch.setattr(neural.learn_vocabulary, "__defaults__", (64, 64))
+    for words, shared in ((200, 16), (2000, 128)):
+        text = " ".join(f"w{i} " * (1 + 2000 // (i + 1)) for i in range(words))
+        counts = neural.count_tokens(odd.with_rows(spark, [text]).select("text"))
+        known = neural.learn_vocabulary(counts)
+        assert len(known.shared) == shared and known.n_classes > 0
+        assert math.isclose(known.frequencies.sum(), known.n + known.distinct + shared)
+        model = Model.fresh(known.frequencies, 6)
+        model.context[:] = np.random.default_rng(1).standard_normal(model.context.shape)
+        model.target[:] = np.random.default_rng(2).standard_normal(model.target.shape)
+        contexts = np.array([[0, 1], [len(known.frequencies), 3]])
+        logs = model.log_probabilities(contexts)
+        assert np.allclose(np.exp(logs).sum(axis=1), 1)
+        leaves = np.arange(len(known.frequencies))
+        assert np.allclose(model.log_chances(np.repeat(contexts[:1], len(leaves), axis=0), leaves), logs[0], atol=1e-4)

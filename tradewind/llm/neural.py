@@ -1,14 +1,18 @@
-"""A log-bilinear language model, trained by noise-contrastive estimation.
-
-The ``CLASSES`` most frequent tokens are classes of their own, all others share one.  The vector
-predicted for the next class is the sum of the context classes' vectors, each scaled by weights of
-its position; its product with a class's vector, plus a bias, is the class's score.  Training tells
-true next classes from noise drawn by frequency; scoring normalises over all classes by one matrix
-product per batch of distinct contexts.  Within the shared class a token has its smoothed frequency.
+"""A log-bilinear language model over a binary tree of all counted tokens.
+
+The leaves of the tree are the tokens in order of frequency; every inner node parts its leaves
+into two runs of about equal frequency.  The ``CLASSES`` most frequent tokens have leaves of their
+own, the others share leaves by their hash, whose number grows with theirs to ``1 << SHARED_BITS``.
+The vector predicted for the next leaf is the sum of the context leaves' vectors, each scaled by
+weights of its position; its product with a node's vector, plus a bias, decides by a logistic
+function between the node's two sides.  So the chances of all leaves add up to 1, and a token
+costs about as many products as its frequency has bits, whatever the vocabulary.  Within a shared
+leaf a token has its smoothed frequency.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,74 +24,173 @@ from tradewind.llm import store
 from tradewind.llm.samples import lookup, text_hash
 from tradewind.llm.text import BLANK_SEPARATED, byte_slices, signed, tokenize, utf8
 
-CLASSES = 1024
-WIDTH = 24
-CONTEXT = 2
 #: Counts that every task knows by heart; rarer tokens meet theirs in a join.
 KNOWN = 1 << 18
+CLASSES = KNOWN
+#: A shared leaf holds about so many tokens, until there are as many leaves as a task's memory allows.
+SHARERS, SHARED_BITS = 16, 16
+WIDTH = 24
+CONTEXT = 2
 END = 0
-_BATCH, _NOISE = 2048, 64
+#: The first nodes meet all tokens of a batch in one product.
+_BATCH, _TOP = 2048, 63
+#: Vectors that go through the shuffle as one row.
+_BLOCK = 256
+
+
+@dataclass
+class Tree:
+    """For each leaf the inner nodes from the root on and the side taken there (1 or -1); the nodes' biases."""
+
+    bounds: np.ndarray
+    nodes: np.ndarray
+    sides: np.ndarray
+    bias: np.ndarray
+
+    @staticmethod
+    def over(frequencies: np.ndarray) -> Tree:
+        """Leaves by falling frequency, parted level by level where half of a node's sum is reached."""
+        leaves = len(frequencies)
+        order = np.argsort(-frequencies, kind="stable")
+        sums = np.concatenate([[0.0], np.cumsum(frequencies[order])])
+        low, high, first = np.zeros(1, np.int64), np.full(1, leaves, np.int64), 0
+        steps, biases = [], []
+        while True:
+            low, high = low[high - low > 1], high[high - low > 1]
+            if not len(low):
+                break
+            cut = np.searchsorted(sums, (sums[low] + sums[high]) / 2)
+            cut -= (cut > low) & (sums[cut] - (sums[low] + sums[high]) / 2 > (sums[low] + sums[high]) / 2 - sums[cut - 1])
+            cut = np.clip(cut, low + 1, high - 1)
+            biases.append(np.log((sums[high] - sums[cut]) / (sums[cut] - sums[low])))
+            own = np.repeat(np.arange(len(low)), high - low)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[own]
+            steps.append((order[place], first + own, np.where(place >= cut[own], 1, -1)))
+            first += len(low)
+            low, high = np.stack([low, cut], axis=1).ravel(), np.stack([cut, high], axis=1).ravel()
+        if not steps:
+            return Tree(np.zeros(leaves + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32))
+        leaf, nodes, sides = (np.concatenate(x) for x in zip(*steps))
+        by_leaf = np.argsort(leaf, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=leaves))])
+        return Tree(bounds, nodes[by_leaf].astype(np.int32), sides[by_leaf].astype(np.float32), np.concatenate(biases).astype(np.float32))
+
+    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths, nodes and sides of the leaves' paths, one after the other."""
+        lengths = self.bounds[leaves + 1] - self.bounds[leaves]
+        ends = np.cumsum(lengths)
+        at = np.arange(lengths.sum()) + np.repeat(self.bounds[leaves] - ends + lengths, lengths)
+        return lengths, self.nodes[at], self.sides[at]
+
+
+def _log_logistic(x: np.ndarray) -> np.ndarray:
+    return -np.logaddexp(np.float32(0), -x)
 
 
 @dataclass
 class Model:
-    """Parameters: context vectors, position weights, class vectors and biases."""
+    """Parameters: context vectors, position weights and node vectors, each with its bias behind."""
 
+    tree: Tree
     context: np.ndarray
     position: np.ndarray
     target: np.ndarray
-    bias: np.ndarray
 
     @staticmethod
     def fresh(frequencies: np.ndarray, width: int = WIDTH, seed: int = 7) -> Model:
-        """Small random vectors; the biases alone give the frequencies.  One more context is the start."""
-        rng, n = np.random.default_rng(seed), len(frequencies)
-        vectors = [(0.1 * rng.standard_normal((m, width))).astype(np.float32) for m in (n + 1, n)]
-        bias = np.log(frequencies / frequencies.sum()).astype(np.float32)
-        return Model(vectors[0], np.ones((CONTEXT, width), np.float32), vectors[1], bias)
-
-    def copy(self) -> Model:
-        return Model(*(x.copy() for x in (self.context, self.position, self.target, self.bias)))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.position, self.target, self.bias)])
+        """Small random vectors, none for nodes; the biases alone give the frequencies.  One more context is the start."""
+        rng, n, tree = np.random.default_rng(seed), len(frequencies), Tree.over(frequencies)
+        context = 0.1 * rng.standard_normal((n + 1, width), np.float32)
+        target = np.zeros((len(tree.bias), width + 1), np.float32)
+        target[:, -1] = tree.bias
+        return Model(tree, context, np.ones((CONTEXT, width), np.float32), target)
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return (self.context[contexts] * self.position).sum(axis=1)
+        """The last place is for the bias."""
+        q = self.context[contexts[:, 0]] * self.position[0]
+        for j in range(1, CONTEXT):
+            q += self.context[contexts[:, j]] * self.position[j]
+        return np.concatenate([q, np.ones((len(q), 1), np.float32)], axis=1)
 
     def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
-        scores = self.predicted(contexts) @ self.target.T
-        scores += self.bias
-        scores -= scores.max(axis=1, keepdims=True)
-        return scores - np.log(np.exp(scores).sum(axis=1, dtype=np.float64))[:, None]
-
-    def train(self, contexts: np.ndarray, targets: np.ndarray, noise_log: np.ndarray, rng, state: list) -> None:
-        """One pass by adaptive gradient steps; a batch shares its noise classes."""
-        noise_p = np.exp(noise_log.astype(np.float64))
-        cumulated = np.cumsum(noise_p / noise_p.sum())
-        for at in range(0, len(targets), _BATCH):
-            c, w = contexts[at : at + _BATCH], targets[at : at + _BATCH]
-            noise = np.minimum(np.searchsorted(cumulated, rng.random(_NOISE)), len(noise_p) - 1)
-            vectors = self.context[c]
-            q = (vectors * self.position).sum(axis=1)
-            # Chance that a class is true, not noise; noise classes share out the weight of _NOISE draws.
-            true = (q * self.target[w]).sum(axis=1) + self.bias[w] - noise_log[w] - np.log(_NOISE)
-            false = q @ self.target[noise].T + self.bias[noise] - noise_log[noise] - np.log(_NOISE)
-            g_true = (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1).astype(np.float32)
-            g_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
-            g_q = g_true[:, None] * self.target[w] + g_false @ self.target[noise]
-            g_target, touched = _by_class(np.concatenate([w, noise]), np.concatenate([g_true[:, None] * q, g_false.T @ q]))
-            g_bias, _ = _by_class(np.concatenate([w, noise]), np.concatenate([g_true, g_false.sum(axis=0)])[:, None])
-            g_context, seen = _by_class(c.ravel(), (g_q[:, None, :] * self.position).reshape(-1, q.shape[1]))
-            g_position = (g_q[:, None, :] * vectors).sum(axis=0)
-            for x, rows, g, s in ((self.target, touched, g_target, state[0]), (self.bias[:, None], touched, g_bias, state[1]), (self.context, seen, g_context, state[2])):
-                s[rows] += g * g
-                x[rows] -= 0.1 * g / np.sqrt(s[rows] + 1.0)
-            state[3] += g_position * g_position
-            self.position -= 0.05 * g_position / np.sqrt(state[3] + 1.0)
+        """Of every leaf, for each context."""
+        leaves = len(self.tree.bounds) - 1
+        lengths, nodes, sides = self.tree.paths(np.arange(leaves))
+        if not len(nodes):
+            return np.zeros((len(contexts), leaves))
+        steps = _log_logistic((self.predicted(contexts) @ self.target.T)[:, nodes] * sides)
+        return np.add.reduceat(steps.astype(np.float64), np.cumsum(lengths) - lengths, axis=1)
+
+    def _steps(self, targets: np.ndarray):
+        """Sides taken at the first ``_TOP`` nodes, for all targets; token, node and side of the other steps."""
+        lengths, nodes, sides = self.tree.paths(targets)
+        own = np.repeat(np.arange(len(targets)), lengths)
+        top = nodes < _TOP
+        taken = np.zeros((len(targets), min(_TOP, len(self.target))), np.float32)
+        taken[own[top], nodes[top]] = sides[top]
+        return taken, own[~top], nodes[~top], sides[~top]
+
+    def log_chances(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Of one leaf for each context."""
+        out = np.zeros(len(targets))
+        for at in range(0, len(targets) if len(self.target) else 0, _BATCH):
+            taken, own, nodes, sides = self._steps(targets[at : at + _BATCH])
+            q = self.predicted(contexts[at : at + _BATCH])
+            # A node off the path has side 0 and adds log 2.
+            logs = -np.log1p(np.exp(-np.clip((q @ self.target[:_TOP].T) * taken, -80, 80))).sum(axis=1, dtype=np.float64)
+            logs += math.log(2) * (taken == 0).sum(axis=1)
+            rest = _log_logistic(np.einsum("ij,ij->i", q[own], self.target[nodes]) * sides)
+            out[at : at + _BATCH] = logs + np.bincount(own, weights=rest, minlength=len(q))
+        return out
+
+    def train(self, contexts: np.ndarray, targets: np.ndarray, _, rng, state: list) -> None:
+        """One pass in random order by adaptive gradient steps on the log chances."""
+        order = rng.permutation(len(targets))
+        for at in range(0, len(targets) if len(self.target) else 0, _BATCH):
+            c, w = contexts[order[at : at + _BATCH]], targets[order[at : at + _BATCH]]
+            taken, own, nodes, sides = self._steps(w)
+            q, top = self.predicted(c), self.target[:_TOP]
+            g_top = -taken / (1 + np.exp(np.clip((q @ top.T) * taken, -30, 30)))
+            g_q = g_top @ top
+            touched = np.flatnonzero(taken.any(axis=0))
+            updates = [(self.target, touched, (g_top.T @ q)[touched], state[0])]
+            if len(nodes):
+                each, theirs = q[own], self.target[nodes]
+                g = (-sides / (1 + np.exp(np.clip(np.einsum("ij,ij->i", each, theirs) * sides, -30, 30))))[:, None]
+                theirs *= g
+                each *= g
+                deep, first = own[np.r_[True, own[1:] != own[:-1]]], np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                g_q[deep] += np.add.reduceat(theirs, first, axis=0)
+                g_node, below = _by_class(nodes, each)
+                updates.append((self.target, below, g_node, state[0]))
+                state[4][below] += 1
+            g_q = g_q[:, None, :-1]
+            g_context, seen = _by_class(c.ravel(), (g_q * self.position).reshape(-1, self.position.shape[1]))
+            g_position = (g_q * self.context[c]).sum(axis=0)
+            for x, rows, g, s in [*updates, (self.context, seen, g_context, state[1])]:
+                sums = s[rows] + g * g
+                s[rows] = sums
+                x[rows] -= 0.1 * g / np.sqrt(sums + 1.0)
+            state[2] += g_position * g_position
+            self.position -= 0.05 * g_position / np.sqrt(state[2] + 1.0)
+            state[3][seen] += 1
+            state[4][touched] += 1
+
+    def rows(self) -> np.ndarray:
+        """All parameters: a row for each context, node and position."""
+        out = np.zeros((len(self.context) + len(self.target) + CONTEXT, self.target.shape[1]), np.float32)
+        out[: len(self.context), :-1], out[-CONTEXT:, :-1] = self.context, self.position
+        out[len(self.context) : -CONTEXT] = self.target
+        return out
+
+    def with_rows(self, rows: np.ndarray) -> Model:
+        context, position = rows[: len(self.context), :-1], rows[-CONTEXT:, :-1]
+        return Model(self.tree, *(np.ascontiguousarray(x) for x in (context, position, rows[len(self.context) : -CONTEXT])))
 
     def steps(self) -> list:
-        return [np.zeros_like(x) for x in (self.target, self.bias[:, None], self.context, self.position)]
+        """Sums of squared gradients; how many batches touched each context and node."""
+        sums = [np.zeros_like(x) for x in (self.target, self.context, self.position)]
+        return [*sums, np.zeros(len(self.context), np.int64), np.zeros(len(self.target), np.int64)]
 
 
 def _by_class(classes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +203,10 @@ def _by_class(classes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Vocabulary:
-    """Counts of the most frequent tokens, by ascending hash, and the corpus's totals."""
+    """Counts of the most frequent tokens, by ascending hash, and the corpus's totals.
+
+    ``shared`` has the sums of the shared leaves: of every token c + 1, and 1 for an unseen one.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -108,13 +214,19 @@ class Vocabulary:
     n: int
     distinct: int
     n_classes: int
+    shared: np.ndarray | None = None
 
     @property
     def frequencies(self) -> np.ndarray:
-        """Of each class, one added; the shared class, last, has all other tokens and an unseen one."""
+        """Of each leaf, one added; the shared ones, last, have all other tokens and an unseen one."""
         own = np.zeros(self.n_classes)
         own[self.classes[self.classes >= 0]] = self.counts[self.classes >= 0] + 1
-        return np.append(own, self.n + self.distinct + 1 - own.sum())
+        return np.append(own, self.n + self.distinct + 1 - own.sum() if self.shared is None else self.shared)
+
+    def shared_leaf(self, hashes: np.ndarray) -> np.ndarray:
+        """By the hash's highest bits."""
+        bits = 0 if self.shared is None else len(self.shared).bit_length() - 1
+        return (hashes >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,62 +267,80 @@ def count_tokens(taught: DataFrame) -> DataFrame:
 def learn_vocabulary(counts: DataFrame, classes: int = CLASSES, known: int = KNOWN) -> Vocabulary:
     n, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     floor = store.count_floor(counts, "n", known).get(0)
-    if floor is None:
-        return Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), n, distinct, 0)
-    got = counts.where(F.col("n") >= floor).toArrow()
-    h, c = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy().astype(np.int64)
+    away, h, c = counts, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if floor is not None:
+        got, away = counts.where(F.col("n") >= floor).toArrow(), counts.where(F.col("n") < floor)
+        h, c = got["h"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy().astype(np.int64)
     order = np.argsort(h)
     h, c = h[order], c[order]
     place = np.full(len(h), -1)
     frequent = np.lexsort((h, -c))[:classes]
     place[frequent] = np.arange(len(frequent))
-    return Vocabulary(h, c, place, n, distinct, len(frequent))
+    bits = min(SHARED_BITS, max(0, math.ceil(math.log2(max(1, distinct - len(frequent)) / SHARERS))))
+    out = Vocabulary(h, c, place, n, distinct, len(frequent), np.ones(1 << bits))
+    leaf = F.shiftrightunsigned(F.shiftrightunsigned("h", 1), 63 - bits).cast("int")
+    sums = away.groupBy(leaf.alias("leaf")).agg(F.sum(F.col("n") + 1).alias("n")).toArrow()
+    out.shared[sums["leaf"].to_numpy()] += sums["n"].to_numpy()
+    np.add.at(out.shared, out.shared_leaf(h[place < 0]), c[place < 0] + 1)
+    return out
 
 
 def _classes(hashes: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Place in the vocabulary (or -1) and class of each token."""
+    """Place in the vocabulary (or -1) and leaf of each token."""
     distinct, inverse = np.unique(hashes, return_inverse=True)
     at = lookup(distinct, vocabulary.hashes)
     own = np.append(vocabulary.classes, -1)[at]
-    own = np.where(own < 0, vocabulary.n_classes, own)
+    own = np.where(own < 0, vocabulary.n_classes + vocabulary.shared_leaf(distinct), own)
     return at[inverse], own[inverse]
 
 
-def train(taught: DataFrame, vocabulary: Vocabulary) -> Model:
-    """Every task trains on its own rows from one start; the models are averaged by their tokens."""
-    start = Model.fresh(vocabulary.frequencies)
-    width = WIDTH
-    shared = taught.sparkSession.sparkContext.broadcast(vocabulary)
-    size = len(start.flat())
+def train(taught: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How far training moves `Model.rows` from a fresh model.
+
+    Every task trains on its own rows from one start; each vector is averaged by how often tasks touched it.
+
+    A task returns only what it touched, and there are no more tasks than cores, so the vectors
+    that are shuffled do not grow with the rows.  They travel as 16-bit floats.
+    """
+    spark = taught.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     def scan(batches):
-        model, rng, seen = start.copy(), np.random.default_rng(11), 0
-        state, known = model.steps(), shared.value
-        noise = np.log(known.frequencies / known.frequencies.sum()).astype(np.float32)
+        known = shared.value
+        model, rng = Model.fresh(known.frequencies), np.random.default_rng(11)
+        state, start = model.steps(), len(known.frequencies)
         for batch in batches:
             for _, _, data, offsets in byte_slices(batch.column(0), 1 << 20):
                 hashes, bounds = _tokens(data, offsets)
                 _, classes = _classes(hashes, known)
-                order = rng.permutation(len(classes))
-                model.train(_contexts(classes, bounds, known.n_classes + 1)[order], classes[order], noise, rng, state)
-                seen += len(classes)
-        if seen:
-            flat = np.append(model.flat(), np.zeros(-size % width, np.float32)).reshape(-1, width).astype(np.float64) * seen
-            rows = flat.shape[0]
-            yield store.table(place=np.arange(rows, dtype=np.int32), seen=np.full(rows, seen, np.int64), **{f"x{i}": flat[:, i].copy() for i in range(width)})
-
-    columns = [f"x{i}" for i in range(width)]
-    models = taught.select(utf8().alias("text")).mapInArrow(scan, f"place int, seen bigint, {', '.join(f'{c} double' for c in columns)}")
-    sums = models.groupBy("place").agg(F.sum("seen").alias("seen"), *[F.sum(c).alias(c) for c in columns]).toArrow()
-    if not sums.num_rows:
-        return start
-    order = np.argsort(sums["place"].to_numpy())
-    mean = np.stack([sums[c].to_numpy() for c in columns], axis=1)[order] / sums["seen"].to_numpy()[order, None]
-    flat, parts, at = mean.ravel()[:size].astype(np.float32), [], 0
-    for x in (start.context, start.position, start.target, start.bias):
-        parts.append(flat[at : at + x.size].reshape(x.shape))
-        at += x.size
-    return Model(*parts)
+                model.train(_contexts(classes, bounds, start), classes, None, rng, state)
+        seen = np.concatenate([state[3], state[4], np.full(CONTEXT, state[3].sum())])
+        moved = model.rows() - Model.fresh(known.frequencies).rows()
+        for at in range(0, len(seen), _BLOCK):
+            if seen[at : at + _BLOCK].any():
+                yield store.table(
+                    block=np.array([at // _BLOCK], np.int32),
+                    seen=pa.array([seen[at : at + _BLOCK].tobytes()], pa.binary()),
+                    moved=pa.array([moved[at : at + _BLOCK].astype(np.float16).tobytes()], pa.binary()),
+                )
+
+    def mean(tasks: pa.Table) -> pa.Table:
+        total, sums = 0, 0
+        for seen, moved in zip(tasks["seen"].to_pylist(), tasks["moved"].to_pylist()):
+            times = np.frombuffer(seen, np.int64)
+            total = total + times
+            sums = sums + np.frombuffer(moved, np.float16).reshape(len(times), -1).astype(np.float64) * times[:, None]
+        means = (sums / np.maximum(total, 1)[:, None]).astype(np.float16)
+        return pa.table({"block": tasks["block"][:1], "moved": pa.array([means.tobytes()], pa.binary())})
+
+    texts = taught.select(utf8().alias("text")).coalesce(spark.sparkContext.defaultParallelism)
+    models = texts.mapInArrow(scan, "block int, seen binary, moved binary")
+    means = models.groupBy("block").applyInArrow(mean, "block int, moved binary").toArrow()
+    leaves = vocabulary.n_classes + len(vocabulary.shared)
+    out = np.zeros((2 * leaves + CONTEXT, WIDTH + 1), np.float16)
+    for block, moved in zip(means["block"].to_pylist(), means["moved"].to_pylist()):
+        out[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(moved, np.float16).reshape(-1, WIDTH + 1)
+    return out
 
 
 def score_texts(documents: DataFrame, teach: Column) -> DataFrame:
@@ -218,9 +348,9 @@ def score_texts(documents: DataFrame, teach: Column) -> DataFrame:
 
     Tokens are words between ASCII blanks, A-Z in lower case, and an end.  Counts and the model
     come from all rows that ``teach`` admits.  base_score sums log10((c + 1) / (N + V + 1)) over
-    the tokens.  score is the model's log10 probability: of a token's class given the classes
-    before it, and of the token within the shared class in proportion to c + 1; the classes and an
-    unseen token add up to 1.  Null texts are empty and have an end.  Rows that share doc_id and
+    the tokens.  score is the model's log10 probability: of a token's leaf given the leaves before
+    it, and of the token within a shared leaf in proportion to c + 1; the leaves, each shared one
+    with an unseen token, add up to 1.  Null texts are empty and have an end.  Rows that share doc_id and
     text get one result each.  If no row teaches, N and V are 0 and both scores are 0.
     """
     spark = documents.sparkSession
@@ -228,36 +358,25 @@ def score_texts(documents: DataFrame, teach: Column) -> DataFrame:
     counts = store.checkpoint(count_tokens(taught))
     vocabulary = learn_vocabulary(counts)
     total = vocabulary.n + vocabulary.distinct + 1
-    model = train(taught, vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, model))
+    shared = spark.sparkContext.broadcast((vocabulary, train(taught, vocabulary)))
 
     def scan(batches):
-        known, lbl = shared.value
+        known, moved = shared.value
+        lbl = Model.fresh(known.frequencies)
+        lbl = lbl.with_rows(lbl.rows() + moved)
         log_c = np.log10(known.counts + 1.0)
-        within = np.log10(known.frequencies[-1])
+        leaves = known.frequencies
+        within = np.log10(leaves)
+        within[: known.n_classes] = 0
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
             for first, last, data, offsets in byte_slices(batch.column(2)):
                 hashes, bounds = _tokens(data, offsets)
                 at, classes = _classes(hashes, known)
                 rows = np.repeat(np.arange(last - first), np.diff(bounds))
-                contexts = _contexts(classes, bounds, known.n_classes + 1)
-                packed = contexts[:, 0]
-                for j in range(1, CONTEXT):
-                    packed = packed * (known.n_classes + 2) + contexts[:, j]
-                order = np.argsort(packed, kind="stable")
-                ordered = packed[order]
-                starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                chance = np.zeros(len(classes))
-                edges = np.append(starts, len(order))
-                for k in range(0, len(starts), 1024):
-                    tops = starts[k : k + 1024]
-                    logs = lbl.log_probabilities(contexts[order[tops]])
-                    span = order[edges[k] : edges[min(k + 1024, len(starts))]]
-                    own = np.repeat(np.arange(len(tops)), np.diff(edges[k : k + 1024 + 1])[: len(tops)])
-                    chance[span] = logs[own, classes[span]]
-                rare = classes == known.n_classes
-                value = chance / np.log(10) - np.where(rare, within, 0)
+                chance = lbl.log_chances(_contexts(classes, bounds, len(leaves)), classes)
+                rare = classes >= known.n_classes
+                value = chance / np.log(10) - within[classes]
                 own = at >= 0
                 frequent = np.bincount(rows[own], weights=log_c[at[own]], minlength=last - first)
                 shared_class = np.bincount(rows[own & rare], weights=log_c[at[own & rare]], minlength=last - first)
