@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tradewind.llm import store
 from tradewind.llm.decontaminate import decontaminate
 from tradewind.llm.mixture import mix, turn_of
-from tradewind.llm.neardup import near_duplicates
+from tradewind.llm.neardup import kept_texts
 from tradewind.llm.personal import learn_tagger, redact
 from tradewind.llm.toxicity import score_toxicity
 
@@ -48,19 +48,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of every group of near copies (five words, 0.8).
+    """Keep one text of every group of near copies (five words, 0.8), the one with the least doc_id.
 
-    Rows that repeat a doc_id are one document; the row with the least text stays.
+    Unlike texts under one doc_id all stay; rows that repeat doc_id and text are one row.
     """
-    found = near_duplicates(docs).where("kept AND doc_id IS NOT NULL")
-    i, n = _free(docs, "kept_id"), _free(docs, "kept_rows")
-    kept = store.checkpoint(found.groupBy(F.col("doc_id").alias(i)).agg(F.count(F.lit(1)).alias(n)))
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col(i))
+    i, k, n = _free(docs, "kept_id"), _free(docs, "kept_key"), _free(docs, "kept_rows")
+    kept = store.checkpoint(kept_texts(docs).toDF(i, k, n))
+    rows = docs.join(kept, (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64("text") == F.col(k)))
     out = rows.where(F.col(n) == 1).select(docs.columns).union(docs.where("doc_id IS NULL"))
     if kept.where(F.col(n) > 1).limit(1).count():
-        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        least = rows.where(F.col(n) > 1).groupBy(i).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
-        out = out.union(least.select("row.*"))
+        out = out.union(rows.where(F.col(n) > 1).dropDuplicates([i, k]).select(docs.columns))
     return out
 
 

@@ -3,11 +3,12 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import odd
 from tradewind.llm import neardup, text as T
 from tradewind.llm.components import connected_components
-from tradewind.llm.neardup import Similarity, near_duplicates, sketch
+from tradewind.llm.neardup import Similarity, kept_texts, near_duplicates, sketch
 
 
 def brute(rows, kind):
@@ -114,3 +115,16 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(links, "u long, v long")).collect()
     assert {r.node: r.component for r in got} == {n: c for n, c in least.items() if any(u != v and n in (u, v) for u, v in links)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_every_text_of_a_doc_id_is_compared(spark):
+    """Each of two unlike texts under one doc_id has a near copy under another."""
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    rows = [(5, one), (5, two), (5, None), (7, one + " more"), (9, two + " more"), (11, "alone here"), (-3, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(docs).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11), (-3, -3)}
+    kept = kept_texts(docs.union(docs.where("doc_id = 11")))
+    keys = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    kept = kept.join(keys, ["doc_id", "text_key"]).select("doc_id", "text", "n_rows").collect()
+    assert {(r.doc_id, r.text, r.n_rows) for r in kept} == {(5, one, 1), (5, two, 1), (5, None, 1), (11, "alone here", 2), (-3, "x y", 1)}

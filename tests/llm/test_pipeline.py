@@ -115,3 +115,9 @@ def test_empty_tables_stay_empty(spark, odd_dir):
     docs = odd.no_documents(spark)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, odd_dir).count() == 0, name
+
+
+def test_unlike_texts_under_one_id_all_stay(spark, odd_dir):
+    kept = corpus_pipeline.near_duplicate(spark, odd.documents(spark), odd_dir).collect()
+    assert {r.text for r in kept if r.doc_id == 8} == {t for i, t, *_ in odd.TEXTS if i == 8}
+    assert sum(r.doc_id == 11 for r in kept) == 1 and not [r for r in kept if r.doc_id == 9]

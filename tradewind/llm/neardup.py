@@ -107,12 +107,12 @@ def _running_sum(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, kind: Similarity) -> DataFrame:
-    """(id, n, f1, f2, registers, bands): the set's size, its 128-bit hash, its sketch and band keys."""
+    """(id, key, n, f1, f2, registers, bands): the text's hash, the set's size and 128-bit hash, its sketch and band keys."""
 
     def scan(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for first, last, data, offsets in byte_slices(batch.column(1)):
+            ids, texts = batch.column(0), batch.column(1)
+            for first, last, data, offsets in byte_slices(batch.column(2)):
                 at, grams = distinct_shingles(tokenize(data, offsets, BLANK_SEPARATED), kind.words)
                 rows = last - first
                 bounds = np.searchsorted(at, np.arange(rows + 1))
@@ -121,6 +121,7 @@ def sketches(documents: DataFrame, kind: Similarity) -> DataFrame:
                 keys = _band_keys(regs, kind.run)
                 yield store.table(
                     id=ids.slice(first, rows),
+                    key=texts.slice(first, rows),
                     n=np.diff(bounds).astype(np.int64),
                     f1=signed(sums[0][bounds[1:]] - sums[0][bounds[:-1]]),
                     f2=signed(sums[1][bounds[1:]] - sums[1][bounds[:-1]]),
@@ -128,8 +129,8 @@ def sketches(documents: DataFrame, kind: Similarity) -> DataFrame:
                     bands=pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * kind.bands, pa.int32()), pa.array(signed(keys.ravel()))),
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("text")).mapInArrow(
-        scan, "id bigint, n bigint, f1 bigint, f2 bigint, registers binary, bands array<bigint>"
+    return documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), utf8().alias("text")).mapInArrow(
+        scan, "id bigint, key bigint, n bigint, f1 bigint, f2 bigint, registers binary, bands array<bigint>"
     )
 
 
@@ -289,35 +290,49 @@ def _beside_pivot(clusters: DataFrame, sets: DataFrame, kind: Similarity) -> Dat
     return others.union(own_pivot.distinct())
 
 
-def near_duplicates(documents: DataFrame, kind: Similarity = Similarity()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``documents``.
+@dataclass
+class Linked:
+    """Rows as scanned; the distinct sets of each id; a node for each set; links between nodes.
 
-    A set holds the distinct runs of ``kind.words`` words (cut at ASCII blanks, A-Z in lower case);
-    a shorter text is one run; a null, empty or blank one has no set and is linked with nothing.
-    component_id is the least doc_id reachable through links; kept says that it is the row's own.
-    Rows that repeat a doc_id are one document, compared by the set whose hash is least.  A row
-    without doc_id cannot be named: it takes no part, has a null component and is kept.  Other
-    columns are not read.
+    A node is the least id that has its set.  If that id has other sets too (``several``), a hash of
+    the set is the node instead.
     """
+
+    scanned: DataFrame
+    own: DataFrame
+    classes: DataFrame
+    links: list[DataFrame]
+    several: bool
+
+
+def _linked(documents: DataFrame, kind: Similarity) -> Linked:
+    """Every set of every doc_id is sketched and compared."""
     spark = documents.sparkSession
     scanned = store.checkpoint(sketches(documents, kind))
     usable = scanned.where("n > 0 AND id IS NOT NULL")
-    own = usable.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("f"), F.count(F.lit(1)).alias("rows"))
-    own = store.checkpoint(own.select("id", "f.f1", "f.f2", "rows"))
-    repeats = own.where("rows > 1").limit(1).count() > 0
-    classes = own.groupBy("f1", "f2").agg(F.min("id").alias("node"))
-    members, _ = store.compact(own.join(classes, ["f1", "f2"]).select("id", "node"))
     keys = ["f1", "f2", "id"]
-    nodes = usable.join(classes.withColumn("id", F.col("node")), keys)
-    nodes = store.checkpoint((nodes.dropDuplicates(keys) if repeats else nodes).select("node", "f1", "n", "registers", "bands"))
+    own = store.checkpoint(usable.groupBy(*keys).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows")))
+    by_id = own.groupBy("id").agg(F.count(F.lit(1)).alias("sets"), F.sum("rows").alias("rows")).where("rows > 1")
+    by_id, repeated = store.compact(by_id)
+    repeats, several = repeated > 0, by_id.where("sets > 1").limit(1).count() > 0
+    classes = own.groupBy("f1", "f2").agg(F.min(F.struct("id", "key")).alias("least")).select("f1", "f2", "least.*")
+    if several:
+        classes = classes.join(by_id.select("id", "sets"), "id", "left")
+        classes = classes.withColumn("node", F.when(F.col("sets") > 1, F.xxhash64("f1", "f2")).otherwise(F.col("id")))
+    else:
+        classes = classes.withColumn("node", F.col("id"))
+    classes = store.checkpoint(classes.select(*keys, "key", "node"))
+    nodes = usable.drop("key").join(classes.drop("key"), keys)
+    nodes = store.checkpoint((nodes.dropDuplicates(keys) if repeats else nodes).select("node", "id", "f1", "n", "registers", "bands"))
     banded = nodes.select(F.explode("bands").alias("band"), "node")
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
     banded, _ = store.compact(banded.join(shared, "band"))
-    wanted = spark.sparkContext.broadcast(store.bitmap(_hashed(banded.select("node").distinct()), "h"))
-    active, _ = store.compact(nodes.join(banded.select("node").distinct(), "node").select("node", "f1", "n", "registers"), 20_000)
+    active, _ = store.compact(nodes.join(banded.select("node").distinct(), "node").select("node", "id", "f1", "n", "registers"), 20_000)
+    wanted = spark.sparkContext.broadcast(store.bitmap(_hashed(active.select("id")), "h"))
     sets = shingle_sets(documents, kind, wanted)
     if repeats:
-        sets = sets.join(active.select(F.col("node").alias("id"), "f1"), ["id", "f1"]).dropDuplicates(["id", "f1"])
+        sets = sets.join(active.select("id", "f1", "node"), ["id", "f1"]).dropDuplicates(["node"])
+        sets = sets.select(F.col("node").alias("id"), "grams")
     sets, _ = store.compact(sets.select("id", "grams"), 4_000)
     links: list[DataFrame] = []
 
@@ -358,10 +373,30 @@ def near_duplicates(documents: DataFrame, kind: Similarity = Similarity()) -> Da
     beside = labelled.join(unfinished.where(F.col("size") > SMALL_BAND).select("band", "pivot", "home"), "band").where("node <> pivot")
     pairs = pairs.union(_beside_pivot(beside.select("pivot", "home", "node", "component").distinct(), sets, kind))
     confirm(pairs)
+    return Linked(scanned, own, classes, links, several)
+
+
+def near_duplicates(documents: DataFrame, kind: Similarity = Similarity()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``documents``.
+
+    A set holds the distinct runs of ``kind.words`` words (cut at ASCII blanks, A-Z in lower case);
+    a shorter text is one run; a null, empty or blank one has no set and is linked with nothing.
+    component_id is the least doc_id reachable through links; kept says that it is the row's own.
+    Rows that repeat a doc_id are one document, linked through each of their sets.  A row
+    without doc_id cannot be named: it takes no part, has a null component and is kept.  Other
+    columns are not read.
+    """
+    found = _linked(documents, kind)
+    members, _ = store.compact(found.own.join(found.classes.select("f1", "f2", "node"), ["f1", "f2"]).select("id", "node"))
     same_id = members.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    components = connected_components(reduce(DataFrame.union, links).union(same_id))
+    components = connected_components(reduce(DataFrame.union, found.links).union(same_id))
+    if found.several:  # a component may be named by a hash
+        components = store.checkpoint(components)
+        ids = components.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+        least = ids.groupBy("component").agg(F.min("node").alias("least"))
+        components = components.join(least, "component").select("node", F.col("least").alias("component"))
     return (
-        scanned.select("id", "n")
+        found.scanned.select("id", "n")
         .join(components.withColumnRenamed("node", "id"), "id", "left")
         .select(
             F.col("id").alias("doc_id"),
@@ -372,6 +407,24 @@ def near_duplicates(documents: DataFrame, kind: Similarity = Similarity()) -> Da
     )
 
 
+def kept_texts(documents: DataFrame, kind: Similarity = Similarity()) -> DataFrame:
+    """(doc_id, text_key, n_rows): one text of every group of near copies, and every text without a set.
+
+    Texts are compared whatever their doc_id, so unlike texts under one doc_id all stay.  Of a
+    group the least doc_id and, under it, the least text_key (``xxhash64``) stays.  Rows without
+    doc_id are left out.
+    """
+    found = _linked(documents, kind)
+    components = connected_components(reduce(DataFrame.union, found.links))
+    firsts = found.classes.select("node", "id", "key").join(components, "node", "left")
+    firsts = firsts.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min(F.struct("id", "key")).alias("least"))
+    texts = found.scanned.where("id IS NOT NULL").groupBy(F.col("id").alias("doc_id"), F.col("key").alias("text_key"))
+    texts = texts.agg(F.count(F.lit(1)).alias("n_rows"), F.max("n").alias("n"))
+    same = (F.col("doc_id") == F.col("least.id")) & (F.col("text_key") == F.col("least.key"))
+    compared = texts.where("n > 0").join(firsts.select("least"), same, "left_semi")
+    return compared.union(texts.where("n = 0")).drop("n")
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Similarity(words=3, percent=85, run=6))
 
