@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tradewind.llm import decontaminate, language, mixture, neardup, neighbours, neural, personal, quality, secrets, toxicity
+from tradewind.llm import decontaminate, fingerprints, language, mixture, neardup, neighbours, neural, personal, quality, secrets, toxicity
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_neardup": neardup.op9_neardup,
     "op10_mixture": mixture.op10_mixture,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
     "pipeline": corpus_pipeline.run,
 }
 
