@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tradewind.llm import decontaminate, fingerprints, language, mixture, neardup, neighbours, neural, personal, quality, secrets, toxicity
+from tradewind.llm import decontaminate, fingerprints, language, mixture, neardup, neighbours, neural, personal, phrases, quality, secrets, toxicity
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_neardup": neardup.op9_neardup,
     "op10_mixture": mixture.op10_mixture,
     "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_phrases": phrases.op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_decontaminate": decontaminate.SQL,
     "op9_neardup": neardup.SQL,
     "op10_mixture": mixture.SQL,
+    "op13_phrases": phrases.SQL,
 }
