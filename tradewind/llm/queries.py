@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tradewind.llm import decontaminate, fingerprints, language, mixture, neardup, neighbours, neural, personal, phrases, quality, secrets, toxicity
+from tradewind.llm import decontaminate, fingerprints, language, mixture, neardup, neighbours, neural, personal, phrases, prefixes, quality, secrets, toxicity
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_neardup": neardup.op9_neardup,
     "op10_mixture": mixture.op10_mixture,
+    "op11_prefixes": prefixes.op11_prefixes,
     "op12_fingerprints": fingerprints.op12_fingerprints,
     "op13_phrases": phrases.op13_phrases,
     "pipeline": corpus_pipeline.run,
@@ -27,5 +28,6 @@ ORACLES = {
     "op8_decontaminate": decontaminate.SQL,
     "op9_neardup": neardup.SQL,
     "op10_mixture": mixture.SQL,
+    "op11_prefixes": prefixes.SQL,
     "op13_phrases": phrases.SQL,
 }
