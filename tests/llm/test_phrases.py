@@ -8,6 +8,7 @@ import pytest
 
 from tests.llm import odd
 from tradewind.llm import phrases as ph
+from tradewind.llm import text as tx
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -88,15 +89,23 @@ def test_elements_are_merged_in_bounded_memory(monkeypatch):
     for _ in range(40):
         keys = rng.integers(0, 400, 30).astype(np.uint64)
         total.update(keys.tolist())
-        parts += list(held.add(keys, keys, keys, keys))
+        parts += list(held.add(keys, keys + np.uint64(1)))
         most = max(most, held.held)
     parts += list(held.rest())
     got = Counter()
     for p in parts:
-        got.update(dict(zip(p[2].tolist(), p[4].tolist())))
+        assert (p[1] == p[0] + np.uint64(1)).all()
+        got.update(dict(zip(p[0].tolist(), p[2].tolist())))
     assert got == total and len(parts) > 5 and most <= 80
 
 
+def test_keys_are_those_of_spark(spark):
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(-(2**63), 2**63 - 1, 50) for _ in "ab")
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a long, b long").selectExpr("xxhash64(a, b) AS h")
+    assert [r.h for r in df.collect()] == tx.signed(ph._chain(tx.unsigned(a), tx.unsigned(b))).tolist()
+
+
 def test_stripes_are_merged_after_one_exchange(spark):
     """Whole stripes travel; merging them, and adding up elements, needs no further exchange."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

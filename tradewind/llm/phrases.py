@@ -12,12 +12,14 @@ frequent reaches the tasks as a bitmap of bounded size; what passes it wrongly i
 dropped, so nothing is lost and nothing added.
 
 A prefix with more than a 65,536th of all words is hot; there cannot be more than 65,536 of them.
-Stripes of hot prefixes are cut into slices by the next word, so no stripe is in one task.
+Stripes of hot prefixes are cut into slices by the next word, a slice for every 65,536th, so no
+stripe is in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +34,26 @@ LEAST = 30
 #: A longer phrase with so many hundredths of a phrase's occurrences subsumes it.
 SUBSUMED = 80
 MOST_LISTED = 2000
-#: Prefixes with more than this share of all words are hot.
+#: Prefixes with more than one in so many of all words are hot.
 HOT_SHARE = 1 << 16
-SLICES = 1024
+#: Slices of each language's stripe of words.
+WORD_SLICES = 1024
 #: The bitmap of frequent phrases has sixteen bits for each, up to so many bits (a power of two).
 MOST_BITS = 27
-#: Elements that a task holds before it hands them on.
-MOST_HELD = 1 << 20
+#: Elements that a task holds before it hands them on, 24 bytes each, and bytes of text it cuts at a time.
+MOST_HELD = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Words are cut at blanks and tabs and at the marks that end a piece.
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 WORDS = tx.byte_classes((0, 255, 1), (9, 9, 0), (32, 32, 0), *((b, b, 0) for b in _MARKS))
 _ENDS_PIECE = np.isin(np.arange(256), np.frombuffer(_MARKS, np.uint8))
 
-STRIPE = "prefix long, slice int, word array<long>, phrase array<long>, rest array<long>, n array<long>, text string"
+# The five factors of XXH64.
+_FIRST, _SECOND, _THIRD = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+_FOURTH, _FIFTH = 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+STRIPE = "prefix long, slice int, word array<long>, n array<long>, text string"
 
 
 def _same_piece(data: np.ndarray, tokens: tx.Tokens) -> np.ndarray:
@@ -56,9 +64,22 @@ def _same_piece(data: np.ndarray, tokens: tx.Tokens) -> np.ndarray:
     return (rows[1:] == rows[:-1]) & (marks[tokens.starts[1:]] == marks[tokens.ends[:-1]])
 
 
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _hashed(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """The XXH64 of 64-bit values, as ``xxhash64`` takes it."""
+    h = (seed + np.uint64(_FIFTH + 8 & tx._MASK)) ^ (_turned(x * np.uint64(_SECOND), 31) * np.uint64(_FIRST))
+    h = _turned(h, 27) * np.uint64(_FIRST) + np.uint64(_FOURTH)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(_SECOND)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_THIRD)
+    return h ^ (h >> np.uint64(32))
+
+
 def _chain(phrases: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The key of a phrase with one more word."""
-    return tx.mix(phrases * np.uint64(0x9FB21C651E98DF25) + words, 11)
+    """The key of a phrase with one more word: ``xxhash64(phrase, word)``; a word is its own key."""
+    return _hashed(words, _hashed(phrases, np.uint64(42)))
 
 
 class _Keys:
@@ -81,48 +102,71 @@ class _Keys:
 
 
 class _Elements:
-    """Elements of stripes, merged in bounded memory: prefix, word, phrase, rest, count."""
+    """Elements of stripes, merged in bounded memory: prefix, word, count."""
 
     def __init__(self):
         self.parts: list[list[np.ndarray]] = []
         self.held = 0
 
     @staticmethod
-    def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.argsort(columns[2], kind="stable")  # the phrase names prefix, word and rest
-        phrase = columns[2][order]
-        first = np.flatnonzero(np.r_[True, phrase[1:] != phrase[:-1]])
-        return [*(c[order][first] for c in columns[:4]), np.add.reduceat(columns[4][order], first)]
-
-    def add(self, prefix, word, phrase, rest) -> Iterator[list[np.ndarray]]:
-        if len(phrase):
-            self.parts.append(self._merged([prefix, word, phrase, rest, np.ones(len(phrase), np.int64)]))
+    def _merged(prefix, word, n) -> list[np.ndarray]:
+        key = prefix * np.uint64(0x9FB21C651E98DF25) + word
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return [prefix[order[first]], word[order[first]], np.add.reduceat(n[order], first)]
+
+    def _all(self) -> list[np.ndarray]:
+        parts, self.parts = self.parts, []
+        return self._merged(*(np.concatenate(c) for c in zip(*parts)))
+
+    def add(self, prefix: np.ndarray, word: np.ndarray) -> Iterator[list[np.ndarray]]:
+        if len(word):
+            self.parts.append(self._merged(prefix, word, np.ones(len(word), np.int64)))
             self.held += len(self.parts[-1][0])
         if self.held > MOST_HELD:
-            self.parts = [self._merged([np.concatenate(c) for c in zip(*self.parts)])]
+            self.parts = [self._all()]
             self.held = len(self.parts[0][0])
             if self.held > MOST_HELD // 2:
                 yield from self.rest()
 
     def rest(self) -> Iterator[list[np.ndarray]]:
         if self.parts:
-            yield self._merged([np.concatenate(c) for c in zip(*self.parts)])
+            yield self._all()
         self.parts, self.held = [], 0
 
 
-def _stripes(elements: list[np.ndarray], hot: np.ndarray | None) -> pa.RecordBatch:
-    """Elements as rows: one per prefix, or per slice of a hot prefix (all are hot where ``hot`` is None)."""
-    prefix, word = elements[:2]
-    is_hot = np.ones(len(prefix), bool) if hot is None else np.isin(prefix, hot)
-    piece = np.where(is_hot, word % np.uint64(SLICES), np.uint64(0))
+def _slices(prefix: np.ndarray, hot: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Into how many slices each prefix's stripe is cut, by the hot prefixes in order and their numbers; None: all alike."""
+    if hot is None:
+        return np.full(len(prefix), WORD_SLICES, np.uint64)
+    keys, numbers = hot
+    if not len(keys):
+        return np.ones(len(prefix), np.uint64)
+    at = np.minimum(np.searchsorted(keys, prefix), len(keys) - 1)
+    return np.where(keys[at] == prefix, numbers[at], np.uint64(1))
+
+
+def _hot(level: DataFrame, everything: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the hot phrases, ascending, and a number of slices for each; HOT_SHARE rows at most."""
+    rows = level.where(F.col("a") * HOT_SHARE > everything).select("phrase", "a").toArrow()
+    keys, counts = tx.unsigned(rows["phrase"].to_numpy()), rows["a"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], -(-counts[order] * HOT_SHARE // max(everything, 1)).astype(np.int64).astype(np.uint64)
+
+
+def _stripes(elements: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    """Elements as rows: one per prefix, or per slice of a hot prefix."""
+    prefix, word, n = elements
+    piece = word % _slices(prefix, hot)
     order = np.lexsort((piece, prefix))
     prefix, piece = prefix[order], piece[order]
     first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (piece[1:] != piece[:-1])])
     bounds = pa.array(np.r_[first, len(prefix)].astype(np.int32))
-    lists = [pa.ListArray.from_arrays(bounds, pa.array(tx.signed(c[order].astype(np.uint64)))) for c in elements[1:]]
+    words, counts = (pa.ListArray.from_arrays(bounds, pa.array(c[order])) for c in (tx.signed(word), n))
     none = pa.nulls(len(first), pa.string())
     return pa.RecordBatch.from_arrays(
-        [pa.array(tx.signed(prefix[first])), pa.array(piece[first].astype(np.int32)), *lists, none], names=["prefix", "slice", "word", "phrase", "rest", "n", "text"]
+        [pa.array(tx.signed(prefix[first])), pa.array(piece[first].astype(np.int32)), words, counts, none], names=["prefix", "slice", "word", "n", "text"]
     )
 
 
@@ -137,11 +181,11 @@ def _dictionary(keys: _Keys, data: np.ndarray, at: np.ndarray, known: set[int])
         prefix = pa.array(tx.signed(np.array([w for w, _ in new], np.uint64)))
         empty = pa.nulls(len(new), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [prefix, pa.array(np.full(len(new), -1, np.int32)), empty, empty, empty, empty, texts], names=["prefix", "slice", "word", "phrase", "rest", "n", "text"]
+            [prefix, pa.array(np.full(len(new), -1, np.int32)), empty, empty, texts], names=["prefix", "slice", "word", "n", "text"]
         )
 
 
-def count_stripes(texts: DataFrame, length: int, frequent: np.ndarray | None, hot: np.ndarray | None) -> DataFrame:
+def count_stripes(texts: DataFrame, length: int, frequent: np.ndarray | None, hot: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """Stripes of prefixes of ``length`` words over ``texts`` (lang_key, text as bytes), partly merged.
 
     With ``length`` 2 the texts of the words of frequent pairs come along as rows of slice -1.
@@ -151,10 +195,10 @@ def count_stripes(texts: DataFrame, length: int, frequent: np.ndarray | None, ho
         elements, known = _Elements(), set()
         for batch in batches:
             langs = tx.unsigned(batch.column(0).to_numpy(zero_copy_only=False))
-            for first, last, data, offsets in tx.byte_slices(batch.column(1)):
+            for first, last, data, offsets in tx.byte_slices(batch.column(1), BLOCK_BYTES):
                 keys = _Keys(data, offsets, langs[first:last])
                 if length == 0:
-                    got = keys.langs, keys.words, keys.words, np.zeros_like(keys.words)
+                    got = keys.langs, keys.words
                 else:
                     prefix, whole = keys.phrases(length)
                     whole = whole & store.in_bitmap(frequent, prefix) if len(prefix) else whole
@@ -163,8 +207,7 @@ def count_stripes(texts: DataFrame, length: int, frequent: np.ndarray | None, ho
                         yield from _dictionary(keys, data, np.unique(np.r_[at, at + 1]), known)
                     n = max(0, len(prefix) - 1)
                     at = np.flatnonzero(whole[:n] & whole[1:] & keys.joined[length - 1 :])
-                    word = keys.words[at + length]
-                    got = prefix[at], word, _chain(prefix[at], word), prefix[at + 1]
+                    got = prefix[at], keys.words[at + length]
                 for done in elements.add(*got):
                     yield _stripes(done, hot)
         for done in elements.rest():
@@ -174,12 +217,15 @@ def count_stripes(texts: DataFrame, length: int, frequent: np.ndarray | None, ho
 
 
 def merge_stripes(stripes: DataFrame) -> DataFrame:
-    """(prefix, word, phrase, rest, n): stripes merged element by element, after one exchange of whole stripes or slices."""
-    dealt = stripes.where("slice >= 0").select("prefix", "slice", "word", "phrase", "rest", "n").repartition("prefix", "slice")
-    zipped = F.arrays_zip("word", "phrase", "rest", "n")
-    elements = dealt.select("prefix", "slice", F.inline(zipped))
-    merged = elements.groupBy("prefix", "slice", "phrase").agg(F.first("word").alias("word"), F.first("rest").alias("rest"), F.sum("n").alias("n"))
-    return merged.select("prefix", "word", "phrase", "rest", "n")
+    """(prefix, word, n): stripes merged element by element, after one exchange of whole stripes or slices."""
+    dealt = stripes.where("slice >= 0").select("prefix", "slice", "word", "n").repartition("prefix", "slice")
+    elements = dealt.select("prefix", "slice", F.inline(F.arrays_zip("word", "n")))
+    return elements.groupBy("prefix", "slice", "word").agg(F.sum("n").alias("n")).select("prefix", "word", "n")
+
+
+def _key(words: list[Column]) -> Column:
+    """The key of a phrase of given words."""
+    return reduce(F.xxhash64, words)
 
 
 def _frequent_bitmap(phrases: DataFrame, rows: int) -> np.ndarray:
@@ -221,13 +267,13 @@ def mine_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     texts = documents.select(F.xxhash64(lang).alias("lang_key"), tx.utf8().alias("text"))
     langs = store.checkpoint(documents.select(lang.alias("lang")).distinct().withColumn("lang_key", F.xxhash64("lang")))
 
-    words = store.checkpoint(merge_stripes(count_stripes(texts, 0, None, None)))
-    totals = words.groupBy(F.col("prefix").alias("lang_key")).agg(F.sum("n").alias("total"))
-    everything = words.agg(F.sum("n")).first()[0] or 0
-    frequent = words.where(F.col("n") >= least)
+    counted = store.checkpoint(merge_stripes(count_stripes(texts, 0, None, None)))
+    totals = counted.groupBy(F.col("prefix").alias("lang_key")).agg(F.sum("n").alias("total"))
+    everything = counted.agg(F.sum("n")).first()[0] or 0
+    frequent = counted.where(F.col("n") >= least)
     # Level by level: a phrase's counts of its first words (before) and last words (after), by cut.
     level = frequent.select(
-        "phrase", F.col("prefix").alias("lang_key"), F.array("phrase").alias("words"), F.col("n").alias("a"),
+        F.col("word").alias("phrase"), F.col("prefix").alias("lang_key"), F.array("word").alias("words"), F.col("n").alias("a"),
         F.array().cast("array<long>").alias("before"), F.array().cast("array<long>").alias("after"),
     )
     candidates, stripes_of_pairs = [], None
@@ -235,23 +281,19 @@ def mine_phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGES
         rows = level.count()
         if rows == 0:
             break
-        hot = level.where(F.col("a") * HOT_SHARE > everything).select("phrase").toArrow()["phrase"].to_numpy()
-        stripes = count_stripes(texts, length, _frequent_bitmap(level, rows), np.sort(tx.unsigned(hot)))
+        stripes = count_stripes(texts, length, _frequent_bitmap(level, rows), _hot(level, everything))
         if length == 2:
             stripes = stripes_of_pairs = store.checkpoint(stripes)
         elements = store.checkpoint(merge_stripes(stripes).where(F.col("n") >= least))
         first = level.select(F.col("phrase").alias("prefix"), "lang_key", "words", F.col("before"), F.col("a").alias("of_first"))
         last = level.select(F.col("phrase").alias("rest"), F.col("after"), F.col("a").alias("of_last"))
-        tail = F.col("word") if length == 1 else F.col("rest")
-        longer = (
-            elements.withColumn("rest", tail)
-            .join(first, "prefix")
-            .join(last, "rest")
-            .select(
-                "phrase", "lang_key", F.concat("words", F.array("word")).alias("words"), F.col("n").alias("a"),
-                F.concat("before", F.array("of_first")).alias("before"), F.concat(F.array("of_last"), "after").alias("after"), "prefix", "rest",
-            )
-        )
+        words = F.concat("words", F.array("word"))
+        longer = elements.join(first, "prefix").select("prefix", "lang_key", words.alias("words"), F.col("n").alias("a"), "before", "of_first")
+        longer = longer.withColumn("rest", _key([F.get("words", F.lit(j)) for j in range(1, length + 1)])).join(last, "rest")
+        longer = longer.select(
+            _key([F.get("words", F.lit(j)) for j in range(length + 1)]).alias("phrase"), "lang_key", "words", "a",
+            F.concat("before", F.array("of_first")).alias("before"), F.concat(F.array("of_last"), "after").alias("after"), "prefix", "rest",
+        )
         longer = store.checkpoint(longer)
         if length > 1:
             inside = longer.select(F.explode(F.array("prefix", "rest")).alias("phrase"), "a").groupBy("phrase").agg(F.max("a").alias("largest"))
