@@ -62,11 +62,14 @@ def filled(column: Column) -> Column:
 
 
 def day_range(column: Column, first: str | None, last: str | None) -> list[Column]:
-    """From the start of ``first`` to the end of ``last``, its last fraction of a second included."""
+    """From the start of ``first`` to the end of ``last``, its last fraction of a second included.
+
+    The last day of the calendar, 9999-12-31, bounds nothing: no moment lies after it.
+    """
     out = []
     if first is not None:
         out.append(column >= moment(f"{first} 00:00:00"))
-    if last is not None:
+    if last is not None and date.fromisoformat(last) < date.max:
         following = date.fromisoformat(last) + timedelta(days=1)
         out.append(column < moment(f"{following} 00:00:00"))
     return out
