@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewind.filters import FilterSpec
 from tradewind.functions.cells import free_name
-from tradewind.functions.geography import department_of
+from tradewind.functions.geography import department_of, postcode_ranges, within_ranges
 from tradewind.operators.membership import ChildTest, matched, where_children
 from tradewind.operators.predicates import Match
 from tradewind.sources.shop import Shop
@@ -25,6 +25,10 @@ GEO_FILTERS = (
 )
 
 
+#: A department map of more rows is not read by the driver, and postcodes get no ranges in front.
+MOST_CODES = 1000
+
+
 def has_geo(spec: FilterSpec) -> bool:
     """Whether any geographic filter acts; a postcode range needs both ends."""
     return spec.any_given(*GEO_FILTERS) or _range(spec) is not None
@@ -47,7 +51,8 @@ def matching_addresses(
     """Addresses that satisfy every geographic filter.
 
     Departments go through the department map, so a code the map does not
-    list matches nothing.  ``department_by_prefix`` compares the postcode's
+    list matches nothing; the ranges of the postcodes they can have stand in
+    front, where files and row groups are skipped by them.  ``department_by_prefix`` compares the postcode's
     leading characters instead, three of them with a code of three, as the wide
     exports do.  ``country_guard`` accepts a department only in the map's own
     country, ``corsica`` reads Corsican postcodes as ``2A`` and ``2B``.
@@ -88,6 +93,7 @@ def matching_addresses(
             named = department_of(postcode, corsica)
             start = F.when(named.isin("2A", "2B"), named).otherwise(start)
         three = F.substring(postcode, 1, 3)
+        addresses = addresses.where(within_ranges(postcode, postcode_ranges(departments, corsica)))
         addresses = addresses.where(start.isin(leading) | three.isin(overseas))
         if country_guard:
             code = F.when(three.isin(overseas), three).otherwise(start)
@@ -99,6 +105,9 @@ def matching_addresses(
             wanted = wanted.where(F.col("dept_code").isin(departments))
         if regions is not None:
             wanted = wanted.where(F.col("region_code").isin(regions))
+        codes = [r.dept_code for r in wanted.select("dept_code").distinct().limit(MOST_CODES + 1).collect()]
+        if len(codes) <= MOST_CODES:
+            addresses = addresses.where(within_ranges(postcode, postcode_ranges(codes, corsica)))
         addresses = _in_map(shop, addresses, wanted, department_of(postcode, corsica), country_guard)
     return addresses
 

@@ -533,6 +533,13 @@ _BODIES = {
     "scan_children": f"""
         SELECT * FROM s_detail WHERE id_order IN (SELECT id_order FROM s_orders o WHERE {_PERIOD})
         """,
+    "scan_children_scattered": """
+        SELECT * FROM s_detail d WHERE EXISTS (
+            SELECT 1 FROM s_orders o WHERE o.id_order = d.id_order AND current_state = 'P'
+            AND id_shop = 2 AND id_lang = 1 AND id_currency = 3)""",
+    "keyset_pages": f"""
+        SELECT CAST((row_number() OVER (ORDER BY id_order) - 1) // 100 + 1 AS BIGINT) AS page, *
+        FROM ({_orders(f"{_PERIOD} AND id_order > 300")})""",
     "keyset_page": _orders(f"{_PERIOD} AND id_order > 300") + " ORDER BY id_order LIMIT 100",
     "incremental_since": _orders("id_order > 1000"),
     "incremental_watermark": """
@@ -572,6 +579,11 @@ _BODIES = {
     ),
     "export_incremental": """
         SELECT 0 AS run, id_order FROM s_orders WHERE current_state = 'O' AND id_order > 1000""",
+    "export_continued": """
+        WITH chosen AS (SELECT CASE WHEN id_order <= 4000 THEN 0 ELSE 1 END AS run, id_order
+                        FROM s_orders WHERE current_state = 'O')
+        SELECT run, 'orders' AS entity, id_order FROM chosen
+        UNION ALL SELECT run, 'order_detail', id_order FROM s_detail JOIN chosen USING (id_order)""",
     "export_enriched": _written(_enriched(1, _WIDE), _ENRICHED_NAMES),
     "export_flat": _written(_flat(1, _WIDE), _FLAT_NAMES),
     "file_manifest": """
@@ -579,12 +591,16 @@ _BODIES = {
         SELECT 'orders' AS entity_name, count(*) AS row_count, true AS described FROM chosen
         UNION ALL SELECT 'order_detail', count(*), true FROM s_detail
             JOIN chosen USING (id_order)""",
+    "file_manifest_any_path": """
+        SELECT CASE id_order % 4 WHEN 0 THEN 'größe' WHEN 1 THEN 'a%20b' WHEN 2 THEN 'a b' ELSE 'a#b' END
+            AS entity_name, CAST(count(*) AS BIGINT) AS row_count FROM s_orders GROUP BY 1""",
     "resume_export": _orders(_WIDE),
     "project_all": "SELECT * FROM s_orders",
     "project_enriched": _enriched(2, _WIDE),
     "project_flat": _flat(2, _FILTERED),
     "enriched_orders": _enriched(1, "true"),
     "flat_orders": _flat(1, _WIDE),
+    "flat_orders_colocated": _flat(1, _WIDE),
     "flat_orders_by_department": _flat(
         1, "left(ad.postcode, 2) IN ('20', '05') OR ad.postcode LIKE '973%'"
     ),
@@ -598,6 +614,7 @@ _BODIES = {
     ),
     "f_shop": _orders("id_shop = 2"),
     "f_shop_multi": _orders("id_shop IN (1, 3)"),
+    "f_date_add_open": _orders("date_add >= '1999-03-01'"),
     "f_date_add": _orders("date_add >= '1997-03-01' AND date_add < '1998-03-01'"),
     "f_date_upd": _orders("date_upd >= '1999-01-01' AND date_upd < '1999-07-01'"),
     "f_id_range": _orders("id_order BETWEEN 100 AND 900"),

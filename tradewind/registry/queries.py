@@ -18,14 +18,16 @@ from tradewind.operators.membership import ChildTest, where_children
 from tradewind.operators.orders import select_orders
 from tradewind.operators.value import add_customer_value
 from tradewind.plans.entities import ENTITIES
+from tradewind.sinks.commit import ExportLog
 from tradewind.sinks.csvfiles import CsvOptions, project_columns, read_csv, write_csv
 from tradewind.sinks.exports import export_enriched, export_flat, export_relational
 from tradewind.sinks.manifest import file_facts, file_manifest
 from tradewind.sources import scans
+from tradewind.sources.colocated import write_colocated
 from tradewind.sources.shop import Shop
 from tradewind.sources.standin import SampleShop, sample_table
 from tradewind.streaming.resumable import resume_export
-from tradewind.workspace import scratch_dir
+from tradewind.workspace import scratch_dir, unstored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +43,7 @@ ORDER_FILTERS: dict[str, dict] = {
     "f_shop": {"id_shop": 2},
     "f_shop_multi": {"id_shop_multi": [1, 3]},
     "f_date_add": {"date_add_from": "1997-03-01", "date_add_to": "1998-02-28"},
+    "f_date_add_open": {"date_add_from": "1999-03-01", "date_add_to": "9999-12-31"},
     "f_date_upd": {"date_upd_from": "1999-01-01", "date_upd_to": "1999-06-30"},
     "f_id_range": {"id_min": 100, "id_max": 900},
     "f_currency": {"id_currency": 3},
@@ -201,28 +204,28 @@ def _closure(shop: Shop) -> DataFrame:
     """All columns of all tables below the orders of two years."""
     plan = closure.plan_export(shop, "orders", "ultra")
     roots = {"orders": select_orders(shop, PERIOD)}
-    return _as_exported(closure.relational_closure(shop, plan, roots))
+    return _as_exported(closure.relational_closure(shop, plan, roots, unstored))
 
 
 def _closure_by_customer(shop: Shop) -> DataFrame:
     """All columns of all tables below the active customers."""
     plan = closure.plan_export(shop, "customers", "ultra")
     roots = {"customer": select_customers(shop, ACTIVE)}
-    return _as_exported(closure.relational_closure(shop, plan, roots))
+    return _as_exported(closure.relational_closure(shop, plan, roots, unstored))
 
 
 def _reference_bundle(shop: Shop) -> DataFrame:
     """The dimensions that orders, addresses and the orders' coupons use."""
     plan = closure.plan_export(shop, "full", "complete")
     roots = {"orders": select_orders(shop, PERIOD), "customer": select_customers(shop, ACTIVE)}
-    tables = closure.relational_closure(shop, plan, roots)
+    tables = closure.relational_closure(shop, plan, roots, unstored)
     used = ("orders", "address", "order_cart_rule", "customer_group", "order_history")
-    return _as_exported(closure.reference_bundle(shop, {n: tables[n] for n in used}))
+    return _as_exported(closure.reference_bundle(shop, {n: tables[n] for n in used}, unstored))
 
 
 def _custom_table_closure(shop: Shop) -> DataFrame:
     plan = closure.plan_export(shop, "customers", "essential", include_custom=True)
-    tables = closure.relational_closure(shop, plan, {"customer": select_customers(shop, ACTIVE)})
+    tables = closure.relational_closure(shop, plan, {"customer": select_customers(shop, ACTIVE)}, unstored)
     custom = [e.name for e in plan if e.custom]
     return _tagged(tables, {n: tables[n].columns[0] for n in ["customer", "address", *custom]})
 
@@ -494,6 +497,52 @@ def _export_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _export_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs that a log ties together: orders up to 4000, what came since, and nothing new."""
+    whole = _shop(spark, sf_dir)
+    folder = scratch_dir(spark, "export_continued")
+    log = ExportLog(spark, f"{folder}/log")
+    spec = {"orders": FilterSpec(incremental=True, current_state=["O"])}
+    early = whole.replace(orders=whole["orders"].where("id_order <= 4000"))
+    parts = []
+    for run, shop in enumerate((early, whole, whole)):
+        done = export_relational(shop, f"{folder}/{run}", "orders", specs=spec, log=log)
+        for table in ("orders", "order_detail"):
+            back = read_csv(spark, done.outputs[table], columns=done.columns[table])
+            parts.append(
+                back.select(F.lit(run).alias("run"), F.lit(table).alias("entity"), F.col("id_order").cast("long").alias("id_order"))
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _file_manifest_any_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of datasets in folders whose names a URI writes in another way."""
+    base, options = scratch_dir(spark, "file_manifest_any_path"), CsvOptions(rows_per_file=4000)
+    orders = _shop(spark, sf_dir)["orders"].select(ORDER_COLUMNS)
+    outputs = {}
+    for k, name in enumerate(("größe", "a%20b", "a b", "a#b")):
+        outputs[name] = f"{base}/{name}"
+        write_csv(orders.where(F.col("id_order") % 4 == k), outputs[name], options)
+    files = file_manifest(spark, outputs, options)
+    return files.groupBy("entity_name").agg(F.sum("row_count").alias("row_count"))
+
+
+def _scan_children_scattered(shop: Shop) -> DataFrame:
+    """Lines of orders that are few and lie all over the key range: a key filter acts before the shuffle."""
+    chosen = select_orders(shop, FilterSpec(current_state=["P"], id_shop=2, id_lang=1, id_currency=3))
+    known = closure.parent_keys(chosen, "id_order", ["id_order"], unstored, "orders")
+    return closure.scan_children(shop, ENTITIES["order_detail"], chosen, known)
+
+
+def _flat_orders_colocated(shop: Shop) -> DataFrame:
+    """Flat rows from bucketed copies of orders and lines, where lines meet their orders without a shuffle."""
+    folder = scratch_dir(shop.spark, "colocated")
+    copies = write_colocated(
+        shop, "default", ["orders", "order_detail"], 16, path=folder, prefix=folder.rpartition("/")[2].replace("-", "_") + "_"
+    )
+    return wide.flat_orders(copies, WIDE)
+
+
 def _export_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "export_enriched")
     done = export_enriched(_shop(spark, sf_dir), path, WIDE, ordered=True)
@@ -554,6 +603,10 @@ QUERIES: dict[str, Query] = {
     "scan_children": _over(
         lambda s: closure.scan_children(s, ENTITIES["order_detail"], select_orders(s, PERIOD))
     ),
+    "scan_children_scattered": _over(_scan_children_scattered),
+    "keyset_pages": _over(
+        lambda s: scans.keyset_pages(select_orders(s, PERIOD), "id_order", 100, 300).select("page", *ORDER_COLUMNS)
+    ),
     "keyset_page": _over(
         lambda s: scans.keyset_page(select_orders(s, PERIOD), "id_order", 300, 100).select(
             ORDER_COLUMNS
@@ -576,9 +629,11 @@ QUERIES: dict[str, Query] = {
     "column_projection": _over(_column_projection),
     "export_relational": _export_relational,
     "export_incremental": _export_incremental,
+    "export_continued": _export_continued,
     "export_enriched": _export_enriched,
     "export_flat": _export_flat,
     "file_manifest": _file_manifest,
+    "file_manifest_any_path": _file_manifest_any_path,
     "resume_export": _resume_export,
     # Projections and wide joins.
     "project_all": _over(lambda s: select_orders(s)),
@@ -586,6 +641,7 @@ QUERIES: dict[str, Query] = {
     "project_flat": _over(lambda s: wide.flat_orders(s, FILTERED, label_lang=2)),
     "enriched_orders": _over(lambda s: wide.enriched_orders(s)),
     "flat_orders": _over(lambda s: wide.flat_orders(s, WIDE)),
+    "flat_orders_colocated": _over(_flat_orders_colocated),
     "flat_orders_by_department": _over(
         lambda s: wide.flat_orders(s, FilterSpec(dept_code=["20", "05", "973"]))
     ),

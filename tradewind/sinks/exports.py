@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
-from uuid import uuid4
+from collections.abc import Callable, Mapping
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -16,28 +14,22 @@ from tradewind.operators.customers import select_customers
 from tradewind.operators.orders import select_orders
 from tradewind.operators.wide import enriched_orders, flat_orders
 from tradewind.plans.entities import ENTITIES, NATIVE_COLUMNS, REFERENCE_TABLES
+from tradewind.sinks.commit import Export, ExportLog, Staging, publish, recover, write_all
 from tradewind.sinks.csvfiles import CsvOptions, write_csv
 from tradewind.sources.scans import after, custom_columns
 from tradewind.sources.shop import Shop
-from tradewind.workspace import remove
 
 
-@dataclass(frozen=True)
-class Export:
-    """Written datasets by entity, their columns, and the last exported id of each root."""
+def _finished(shop: Shop, staging: Staging, log: ExportLog | None) -> Export | None:
+    """The export if it counts already, its datasets in place."""
+    if (record := staging.committed(log)) is None:
+        return None
+    publish(shop.spark, record)
+    return Export(record["outputs"], record.get("exported", record["cursors"]), record["columns"])
 
-    outputs: dict[str, str]
-    cursors: dict[str, int] = field(default_factory=dict)
-    columns: dict[str, list[str]] = field(default_factory=dict)
 
-
-def _write_all(datasets: Mapping[str, DataFrame], options: CsvOptions) -> None:
-    """Independent writes, some at a time, so that small ones fill idle cores."""
-    with ThreadPoolExecutor(options.writes_at_once) as pool:
-        for done in [
-            pool.submit(write_csv, rows, path, options) for path, rows in datasets.items()
-        ]:
-            done.result()
+def _writer(rows: DataFrame, options: CsvOptions) -> Callable[[str], None]:
+    return lambda place: write_csv(rows, place, options)
 
 
 def export_relational(
@@ -54,21 +46,39 @@ def export_relational(
     cursors: Mapping[str, int] | None = None,
     ordered: bool = False,
     scratch: str | None = None,
+    log: ExportLog | None = None,
     **selection,
 ) -> Export:
     """Write one dataset per entity below ``path``.
 
     ``specs`` holds a filter specification per side, ``customers`` and
     ``orders``.  A specification with ``incremental`` set continues after the
-    cursor of its root.  Roots and other parents, and the ids of dimensions in
-    use, are stored once as Parquet below ``scratch``, by default a folder next
-    to the output, and removed when all is written; their datasets and children
-    read that.  So a table without children runs at most twice: for its dataset
-    and for the dimensions it uses.  ``ordered`` sorts every dataset by its key
-    over all part files.
+    cursor of its root: the one in ``cursors``, else the one in ``log``, which
+    then keeps the new ones.  Roots and other parents, and the ids of dimensions
+    in use, are stored once as Parquet, in the staging folder or below
+    ``scratch``; their datasets and children read that.  So a table without
+    children runs at most twice: for its dataset and for the dimensions it uses.
+    ``ordered`` sorts every dataset by its key over all part files.
+
+    No dataset is visible before all are written (see ``commit``).  After a
+    failure the same call goes on with the same stored parents and writes what is
+    missing; nothing is left behind once it is through.  A path that holds one of
+    the datasets already is refused, unless ``log`` has just that export last:
+    then that one is returned.
     """
     specs = specs or {}
     plan = plan_export(shop, export_type, level, include_custom_tables)
+    request = {
+        "shape": "relational", "plan": [e.name for e in plan], "specs": {k: v.to_json() for k, v in specs.items()},
+        "options": asdict(options), "custom_columns": include_custom_columns, "reference": include_reference,
+        "cursors": cursors, "ordered": ordered, "selection": selection,
+    }
+    recover(shop.spark, log)
+    staging = Staging(shop.spark, path, request, scratch)
+    if (done := _finished(shop, staging, log)) is not None:
+        return done
+    if cursors is None:
+        cursors = log.cursors() if log else {}
     roots, keys = {}, {}
     for e in plan:
         if not e.is_root:
@@ -76,15 +86,12 @@ def export_relational(
         select = select_customers if e.side == "customers" else select_orders
         spec = specs.get(e.side, FilterSpec())
         rows = select(shop, spec, **selection)
-        start = (cursors or {}).get(e.name)
+        start = cursors.get(e.name)
         roots[e.name] = after(rows, e.pk, start) if spec.incremental else rows
-        keys[e.name] = (e.pk, start or 0)
-
-    scratch = f"{scratch or f'{path}/_scratch'}/{uuid4().hex}"
-
-    def store(name: str, rows: DataFrame) -> DataFrame:
-        rows.write.parquet(f"{scratch}/{name}")
-        return shop.spark.read.parquet(f"{scratch}/{name}")
+        keys[e.name] = (e.pk, start or 0, spec.incremental)
+    staging.refuse_to_replace({e.name: f"{staging.path}/{e.name}" for e in plan})
+    staging.begin(cursors)
+    store = staging.store
 
     tables = relational_closure(shop, plan, roots, store)
     if not include_custom_columns:
@@ -102,15 +109,15 @@ def export_relational(
     if ordered:
         tables = {name: rows.orderBy(sort_keys[name]) for name, rows in tables.items()}
 
-    outputs = {name: f"{path}/{name}" for name in tables}
-    _write_all({outputs[name]: rows for name, rows in tables.items()}, options)
+    outputs = {name: f"{staging.path}/{name}" for name in tables}
+    staging.refuse_to_replace(outputs)
+    write_all(staging, {name: _writer(rows, options) for name, rows in tables.items()}, options.writes_at_once)
     last = {
         name: tables[name].agg(F.coalesce(F.max(key), F.lit(start))).first()[0]
-        for name, (key, start) in keys.items()
+        for name, (key, start, _) in keys.items()
     }
-    columns = {name: rows.columns for name, rows in tables.items()}
-    remove(shop.spark, scratch)
-    return Export(outputs, last, columns)
+    done = Export(outputs, last, {name: rows.columns for name, rows in tables.items()})
+    return staging.commit(done, log, {name: last[name] for name, (*_, goes_on) in keys.items() if goes_on})
 
 
 def _after_cursor(shop: Shop, spec: FilterSpec | None, cursor: int | None) -> Shop:
@@ -121,14 +128,41 @@ def _after_cursor(shop: Shop, spec: FilterSpec | None, cursor: int | None) -> Sh
 
 
 def _write_wide(
-    rows: DataFrame, path: str, name: str, options: CsvOptions, cursor: int | None
+    shop: Shop,
+    path: str,
+    name: str,
+    spec: FilterSpec | None,
+    options: CsvOptions,
+    cursor: int | None,
+    log: ExportLog | None,
+    ordered: bool,
+    selection: Mapping,
+    rows_after: Callable[[int | None], DataFrame],
 ) -> Export:
     """Write one wide dataset; the highest order id is observed on the way."""
-    seen = Observation()
-    rows = rows.observe(seen, F.max("id_order").alias("last"))
-    write_csv(rows, f"{path}/{name}", options)
-    last = seen.get.get("last")
-    return Export({name: f"{path}/{name}"}, {"main": (cursor or 0) if last is None else last})
+    request = {
+        "shape": name, "spec": spec.to_json() if spec else None, "options": asdict(options), "cursor": cursor,
+        "ordered": ordered, "selection": selection,
+    }
+    recover(shop.spark, log)
+    staging = Staging(shop.spark, path, request)
+    if (done := _finished(shop, staging, log)) is not None:
+        return done
+    if cursor is None and log:
+        cursor = log.cursors().get("main")
+    outputs = {name: f"{staging.path}/{name}"}
+    staging.refuse_to_replace(outputs)
+    staging.begin({"main": cursor or 0})
+    rows = rows_after(cursor)
+
+    def write(place: str) -> dict:
+        seen = Observation()
+        write_csv(rows.observe(seen, F.max("id_order").alias("last")), place, options)
+        return {"last": seen.get.get("last")}
+
+    last = write_all(staging, {name: write}, 1)[name]["last"]
+    done = Export(outputs, {"main": (cursor or 0) if last is None else last}, {name: rows.columns})
+    return staging.commit(done, log, done.cursors if spec and spec.incremental else {})
 
 
 def export_enriched(
@@ -139,13 +173,19 @@ def export_enriched(
     options: CsvOptions = CsvOptions(),
     ordered: bool = False,
     cursor: int | None = None,
+    log: ExportLog | None = None,
     **selection,
 ) -> Export:
-    """One row per order.  ``ordered`` sorts by order over all part files."""
-    rows = enriched_orders(_after_cursor(shop, spec, cursor), spec, **selection)
-    if ordered:
-        rows = rows.orderBy("id_order")
-    return _write_wide(rows, path, "orders_enriched", options, cursor)
+    """One row per order.  ``ordered`` sorts by order over all part files; ``log`` keeps the cursor ``main``.
+
+    Visible as a whole, and run again after a failure, like a relational export.
+    """
+
+    def rows_after(start: int | None) -> DataFrame:
+        rows = enriched_orders(_after_cursor(shop, spec, start), spec, **selection)
+        return rows.orderBy("id_order") if ordered else rows
+
+    return _write_wide(shop, path, "orders_enriched", spec, options, cursor, log, ordered, selection, rows_after)
 
 
 def export_flat(
@@ -156,12 +196,16 @@ def export_flat(
     options: CsvOptions = CsvOptions(),
     ordered: bool = False,
     cursor: int | None = None,
+    log: ExportLog | None = None,
     **selection,
 ) -> Export:
-    """One row per order line.  ``ordered`` sorts by order, then line."""
-    rows = flat_orders(
-        _after_cursor(shop, spec, cursor), spec, with_line_id=ordered, **selection
-    )
-    if ordered:
-        rows = rows.orderBy("id_order", "id_order_detail").drop("id_order_detail")
-    return _write_wide(rows, path, "export_complet", options, cursor)
+    """One row per order line.  ``ordered`` sorts by order, then line; ``log`` keeps the cursor ``main``.
+
+    Visible as a whole, and run again after a failure, like a relational export.
+    """
+
+    def rows_after(start: int | None) -> DataFrame:
+        rows = flat_orders(_after_cursor(shop, spec, start), spec, with_line_id=ordered, **selection)
+        return rows.orderBy("id_order", "id_order_detail").drop("id_order_detail") if ordered else rows
+
+    return _write_wide(shop, path, "export_complet", spec, options, cursor, log, ordered, selection, rows_after)

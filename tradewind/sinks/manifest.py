@@ -7,6 +7,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,23 @@ _DECODERS = {
 }
 
 
+def stored_file(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store that holds a file, and the file's name there.
+
+    Spark names files by URI, which escapes some characters and leaves others
+    (``größe``, ``a b``) as they are.  The store follows from scheme and host
+    alone; the name is the decoded path.
+    """
+    parts = urlsplit(uri)
+    name = unquote(parts.path)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), name
+    store, root = fs.FileSystem.from_uri(f"{parts.scheme}://{parts.netloc}/")
+    return store, f"{root.rstrip('/')}{name}"
+
+
 def _blocks(path: str) -> Iterator[bytes]:
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = stored_file(path)
     with store.open_input_stream(name, compression=None) as stream:
         while block := stream.read(BLOCK_BYTES):
             yield block

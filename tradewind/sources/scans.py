@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.functions.cells import free_name
 from tradewind.plans.entities import ENTITIES, NATIVE_COLUMNS, REFERENCE_TABLES
 from tradewind.sources.shop import Shop
 
+#: Parts of a key's range, parts of a large one, and its size: more than one row in so many.
+PAGE_PARTS = 4096
+PAGE_SUBPARTS = 64
+PAGE_LARGE = 1024
+
 
 def after(rows: DataFrame, key: str, cursor: int | None) -> DataFrame:
     """Rows beyond the cursor; 0 or ``None`` starts from the beginning."""
@@ -26,6 +33,58 @@ def keyset_page(rows: DataFrame, key: str, cursor: int | None, limit: int) -> Da
     return after(rows, key, cursor).orderBy(key).limit(limit)
 
 
+def keyset_pages(rows: DataFrame, key: str, limit: int, cursor: int | None = None) -> DataFrame:
+    """All pages at once: the rows with their ``page``, from 1; page n is what the n-th ``keyset_page`` gives.
+
+    ``key`` is a whole number, unique and not null.  Its range is cut into equal
+    parts, and a part with far more than its share of the rows once more, between
+    its own lowest and highest key.  The parts' counts, a bounded number, are summed
+    up by the driver; a row's place is what lies before its part and its place
+    within the part.  So pages cost two passes over the key, three where keys are
+    uneven, and one over the rows, whatever their number; no part holds much more
+    than a thousandth of the rows unless the keys within it are uneven again.
+    """
+    rows = after(rows, key, cursor)
+    spark = rows.sparkSession
+    name = free_name("_part", rows.columns)
+    n, low, high = rows.agg(F.count(key), F.min(key), F.max(key)).first()
+    if not n:
+        return rows.withColumn("page", F.lit(None).cast("long"))
+
+    def cut(low: int, high: int, parts: int) -> int:
+        return -(-(high - low + 1) // parts)
+
+    width = cut(low, high, PAGE_PARTS)
+    first = F.expr(f"CAST((CAST(`{key}` AS DECIMAL(20,0)) - {low}) div {width} AS INT)")
+    counts = rows.groupBy(first.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
+    large = {r.part: (r.low, cut(r.low, r.high, PAGE_SUBPARTS)) for r in counts if r.n * PAGE_LARGE > n and r.high > r.low}
+    schema = "part int, low decimal(20,0), width decimal(20,0)"
+    cuts = spark.createDataFrame([(p, Decimal(lo), Decimal(w)) for p, (lo, w) in large.items()], schema)
+    placed = rows.withColumn(name, first)
+    second = F.lit(0)
+    if large:
+        # At most PAGE_LARGE rows.
+        cuts = F.broadcast(cuts.select(F.col("part").alias(name), F.struct("low", "width").alias(f"{name}_cut")))
+        placed = placed.join(cuts, name, "left")
+        second = F.coalesce(F.expr(f"CAST((CAST(`{key}` AS DECIMAL(20,0)) - `{name}_cut`.low) div `{name}_cut`.width AS INT)"), F.lit(0))
+    placed = placed.withColumn(f"{name}_sub", second)
+    if large:
+        inner = placed.where(F.col(f"{name}_cut").isNotNull()).groupBy(F.col(name).alias("part"), F.col(f"{name}_sub").alias("sub")).count().collect()
+    else:
+        inner = []
+    sizes = {(r.part, 0): r.n for r in counts if r.part not in large} | {(r.part, r.sub): r["count"] for r in inner}
+    before, offsets = 0, []
+    for part in sorted(sizes):
+        offsets.append((*part, before))
+        before += sizes[part]
+    # At most PAGE_PARTS + PAGE_LARGE * PAGE_SUBPARTS rows.
+    offsets = F.broadcast(spark.createDataFrame(offsets, f"`{name}` int, `{name}_sub` int, `{name}_before` long"))
+    within = Window.partitionBy(name, f"{name}_sub").orderBy(key)
+    place = F.row_number().over(within) + F.col(f"{name}_before") - 1
+    paged = placed.join(offsets, [name, f"{name}_sub"]).withColumn("page", F.floor(place / limit).cast("long") + 1)
+    return paged.select(*[f"`{c}`" for c in rows.columns], "page")
+
+
 def incremental_since(
     rows: DataFrame, key: str, watermark: int | None
 ) -> tuple[DataFrame, DataFrame]:
