@@ -279,14 +279,18 @@ def _beside_pivot(clusters: DataFrame, sets: DataFrame, kind: Similarity) -> Dat
         "rank", F.row_number().over(Window.partitionBy("pivot", "node").orderBy("often", "e"))
     )
     ranked, _ = store.compact(ranked.where("rank <= short OR (stray AND rank <= long)"))
-    own = {"node": "", "component": "_c", "n": "_n", "away": "_away"}
+    own = {"node": "", "component": "_c", "n": "_n", "away": "_away", "rank": "_rank"}
     side = lambda rows, x: rows.select("pivot", "e", *[F.col(c).alias(x + end) for c, end in own.items()])
     short, long = ranked.where("rank <= short"), ranked.where("stray AND rank <= long")
     mixed = side(short.where("linked"), "u").join(side(long, "v"), ["pivot", "e"])
     strays = side(short.where("stray"), "u").join(side(short.where("stray"), "v"), ["pivot", "e"]).where("u < v")
     # Again: distances from the pivot of linked sets differ by k (|u| + |v|) at most.
     near = F.abs(F.col("u_away") - F.col("v_away")) <= k * (F.col("u_n") + F.col("v_n")) + slack
-    others = mixed.union(strays).where(near & (F.col("u_c") != F.col("v_c"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    # After the first common element in the order of rarity, no more can be common than either has left.
+    left = 1 + F.least(F.col("u_away") - F.col("u_rank"), F.col("v_away") - F.col("v_rank"))
+    near = near & (2 * left >= F.col("u_away") + F.col("v_away") - k * (F.col("u_n") + F.col("v_n")) - slack)
+    sized = 100 * F.least("u_n", "v_n") >= kind.percent * F.greatest("u_n", "v_n")
+    others = mixed.union(strays).where(near & sized & (F.col("u_c") != F.col("v_c"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return others.union(own_pivot.distinct())
 
 
