@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,10 +10,12 @@ from tests.conftest import SMALL
 from tests.llm import odd
 from tradewind.llm.queries import QUERIES
 from tradewind.llm.samples import id_places, labelled, lookup
-from tradewind.llm.toxicity import GAP_COST, _decay, score_toxicity, segments
+from tradewind.llm.toxicity import GAP_COST, LEAST_ODDS, LEAST_Z, PRIOR, SIGNIFICANT, _decay, score_toxicity, segments
 from pyspark.sql import functions as F
 import pyarrow as pa
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 def maximal(scores):
     """All maximal scoring segments, by taking the best one and going on beside it."""
@@ -60,6 +65,80 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+def brute_scores(texts, toxic):
+    """The score from its definition: dictionaries of words, segments taken one by one, regression by small steps."""
+    words = [re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t.translate(LOWER)) for t in texts]
+    n1, n0 = Counter(), Counter()
+    for w, y in zip(words, toxic):
+        (n1 if y else n0).update(set(w))
+    all1, all0 = sum(n1.values()), sum(n0.values())
+    weight, scores, chances = PRIOR * (all1 + all0), {}, {}
+    for w in n1.keys() | n0.keys():
+        prior = PRIOR * (n1[w] + n0[w])
+        odds = math.log((n1[w] + prior) / (all1 + weight - n1[w] - prior)) - math.log((n0[w] + prior) / (all0 + weight - n0[w] - prior))
+        if odds >= LEAST_ODDS and odds / math.sqrt(1 / (n1[w] + prior) + 1 / (n0[w] + prior)) >= LEAST_Z:
+            scores[w], chances[w] = odds, (n0[w] + prior) / (all0 + weight)
+    rate = _decay(np.array(list(scores.values())), np.array(list(chances.values())))
+    x = np.ones((len(texts), 3))
+    for row, w in zip(x, words):
+        surprises = [rate * s - math.log(len(w)) for *_, s in maximal([scores.get(v, -GAP_COST) for v in w])]
+        row[1] = math.log1p(sum(s for s in surprises if 0 < s < -math.log(SIGNIFICANT)))
+        row[2] = math.log1p(sum(s for s in surprises if s >= -math.log(SIGNIFICANT)))
+    y, beta, speed = np.array(toxic, float), np.zeros(3), np.zeros(3)
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-x @ beta))
+        speed = 0.9 * speed - (x.T @ (p - y) + 1e-2 * beta)
+        beta = beta + 2e-3 * speed
+    return 1 / (1 + np.exp(-x @ beta))
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(3)
+    plain, foul = [f"w{i}" for i in range(150)], ["foul", "horrid", "vile", "Rotten"]
+    texts, toxic = [], []
+    for i in range(240):
+        t = rng.choices(plain, k=rng.choice([8, 30, 90]))
+        if i % 3 == 0:
+            at = rng.randrange(len(t))
+            t[at:at] = rng.choices(foul, k=rng.choice([1, 2, 4]))
+        elif i % 40 == 1:
+            t.append("vile")
+        texts.append(" ".join(t))
+        toxic.append(int(i % 3 == 0))
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    rows = odd.by_id(score_toxicity(odd.with_rows(spark, texts), labels))
+    want = brute_scores(texts, toxic)
+    assert np.abs(np.array([rows[i].score for i in range(len(texts))]) - want).max() < 2e-3
+    assert sum(r.predicted for r in rows.values()) > 50 and any(r.evidence for r in rows.values())
+
+
+@pytest.fixture(scope="module")
+def joined(spark):
+    """Clean texts of growing length, each also with one toxic document inside, scored as learned at sf0.1."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = score_toxicity(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    clean = [r.text for r in scored.where("toxic = 0 AND predicted = 0 AND size(passages) = 0").orderBy("doc_id").collect()]
+    toxic = [r.text for r in scored.where("toxic = 1").orderBy(F.desc("evidence"), "doc_id").limit(20).collect()]
+    rng, rows, made = random.Random(7), [], {}
+    for n in (40, 100, 300, 1000):
+        for k in range(20):
+            t = rng.choices(clean, k=n)
+            for inside in (0, 1):
+                made[10**7 + len(rows)] = (n, inside)
+                rows.append((10**7 + len(rows), " ".join([*t[: n // 2], *([toxic[k]] if inside else []), *t[n // 2 :]])))
+    more = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = odd.by_id(score_toxicity(docs.select("doc_id", "text").unionByName(more), labels))
+    return {key: [got[i] for i, k in made.items() if k == key] for key in set(made.values())}
+
+
+@pytest.mark.parametrize("n", [40, 100, 300, 1000])
+def test_clean_texts_stay_clean_at_any_length(joined, n):
+    clean, toxic = joined[n, 0], joined[n, 1]
+    assert np.mean([r.n_words for r in clean]) > 300 * n
+    assert sum(r.predicted for r in clean) <= 1 and all(r.evidence == 0 or r.passages for r in clean)
+    assert sum(r.predicted for r in toxic) >= 19
+
+
 def test_score_reads_the_text_alone(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     one = {r.doc_id: r.score for r in score_toxicity(docs, labels).collect()}

@@ -3,8 +3,10 @@
 A word's score is its log-odds between toxic and clean texts under Dirichlet priors that follow the
 whole sample; words without significant odds cost a little.  One linear scan finds all maximal
 segments of a text.  Under the extreme-value law of such segments in clean text, a score S in n
-words has the expectation n * exp(-lambda * S); those below ``SIGNIFICANT`` are passages.  The sum
-over segments and the text's length give the probability, calibrated on the labels.
+words has the expectation n * exp(-lambda * S); those below ``SIGNIFICANT`` are passages.  A text's
+evidence is the sum of minus the logarithms of its passages' expectations, so words scattered over a
+long text add up to nothing.  The evidence, and the same sum over the lesser segments of which less
+than one is expected, give the probability, calibrated on the labels.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ class ToxicTerms:
     hashes: np.ndarray
     scores: np.ndarray
     rate: float
-    weights: tuple[float, ...] = (-20.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (-20.0, 0.0, 0.0)
 
 
 def segments(places: np.ndarray, scores: np.ndarray, cost: float = GAP_COST) -> list[tuple[int, int, float]]:
@@ -132,9 +134,11 @@ def _terms(documents: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> ToxicTer
 
 
 def passages(documents: DataFrame, terms: ToxicTerms) -> DataFrame:
-    """(doc_id, text_key, n_words, best, evidence, passages): a hash of the text; words counted from 0, a passage's end exclusive.
+    """(doc_id, text_key, n_words, slight, evidence, passages): a hash of the text; words counted from 0, a passage's end exclusive.
 
-    best and evidence are lambda times the score of the best and of all segments.
+    evidence is the sum of minus the logarithms of the passages' expectations, 0 without any; slight
+    is the same of segments that are no passages but less than one expected.  In clean text its mean
+    is below 1 whatever the length.
     """
     shared = documents.sparkSession.sparkContext.broadcast(terms)
 
@@ -148,27 +152,28 @@ def passages(documents: DataFrame, terms: ToxicTerms) -> DataFrame:
                 rows = tokens.rows[hit]
                 cuts = np.searchsorted(rows, np.arange(last - first + 1))
                 n = np.diff(tokens.bounds)
-                best, evidence, found = np.zeros(last - first), np.zeros(last - first), [[] for _ in range(last - first)]
+                slight, evidence, found = np.zeros(last - first), np.zeros(last - first), [[] for _ in range(last - first)]
                 for r in np.unique(rows):
                     own = hit[cuts[r] : cuts[r + 1]]
                     for begin, end, score in segments(own - tokens.bounds[r], known.scores[at[own]]):
-                        evidence[r] += known.rate * score
-                        best[r] = max(best[r], known.rate * score)
-                        expected = n[r] * math.exp(-known.rate * score)
-                        if expected <= SIGNIFICANT:
-                            found[r].append({"begin": begin, "end": end + 1, "score": score, "expected": expected})
+                        surprise = known.rate * score - math.log(n[r])
+                        if surprise < -math.log(SIGNIFICANT):
+                            slight[r] += max(0.0, surprise)
+                        else:
+                            evidence[r] += surprise
+                            found[r].append({"begin": begin, "end": end + 1, "score": score, "expected": math.exp(-surprise)})
                 yield store.table(
                     doc_id=batch.column(0).slice(first, last - first),
                     text_key=batch.column(1).slice(first, last - first),
                     n_words=n.astype(np.int64),
-                    best=best,
+                    slight=slight,
                     evidence=evidence,
                     passages=pa.array(found, _PASSAGES),
                 )
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8().alias("text"))
     kind = "array<struct<begin:bigint,end:bigint,score:double,expected:double>>"
-    return source.mapInArrow(scan, f"doc_id bigint, text_key bigint, n_words bigint, best double, evidence double, passages {kind}")
+    return source.mapInArrow(scan, f"doc_id bigint, text_key bigint, n_words bigint, slight double, evidence double, passages {kind}")
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -185,7 +190,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, teach: Column | None = None, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, text_key, score, predicted, n_words, evidence, passages) for every row of ``documents``.
+    """(doc_id, text_key, score, predicted, n_words, slight, evidence, passages) for every row of ``documents``.
 
     Learns from at most ``most_labelled`` labelled texts, picked by a hash among the rows of
     ``labels`` that ``teach`` admits (all, if None); the score reads the text alone.  Null texts
@@ -197,9 +202,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, teach: Column | None
     terms = _terms(documents, ids, (toxic > 0).astype(np.int64))
     found = store.checkpoint(passages(documents, terms))
     w = np.array(terms.weights)
-    # Minus the logarithm of the best segment's expectation, all evidence, and the length.
-    surprise = F.least(F.col("best") - F.log1p("n_words"), F.lit(20.0))
-    features = [surprise.alias("x1"), F.least("evidence", F.lit(40.0)).alias("x2"), F.log1p("n_words").alias("x3")]
+    features = ["x1", "x2"]
+    found = found.withColumns({"x1": F.log1p("slight"), "x2": F.log1p("evidence")})
     if len(terms.hashes):
         shared = spark.sparkContext.broadcast(ids)
 
@@ -208,13 +212,13 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, teach: Column | None
                 yield batch.filter(pa.array(id_places(batch.column(0), shared.value) >= 0))
 
         # As many rows as the sample has labels, unless ids repeat; then the first ones of each.
-        sample = found.select("doc_id", *features).mapInArrow(pick, "doc_id bigint, x1 double, x2 double, x3 double")
-        sample = sample.groupBy("doc_id").agg(*[F.max(f"x{i}").alias(f"x{i}") for i in (1, 2, 3)]).toArrow()
+        sample = found.select("doc_id", *features).mapInArrow(pick, "doc_id bigint, x1 double, x2 double")
+        sample = sample.groupBy("doc_id").agg(*[F.max(f).alias(f) for f in features]).toArrow()
         y = (toxic > 0).astype(float)[lookup(sample["doc_id"].to_numpy(), ids)]
-        w = _fit(np.stack([np.ones(len(y)), *(sample[f"x{i}"].to_numpy() for i in (1, 2, 3))], axis=1), y)
-    logit = sum((float(a) * x for a, x in zip(w[1:], features)), F.lit(float(w[0])))
+        w = _fit(np.stack([np.ones(len(y)), *(sample[f].to_numpy() for f in features)], axis=1), y)
+    logit = sum((float(a) * F.col(x) for a, x in zip(w[1:], features)), F.lit(float(w[0])))
     scored = found.withColumn("score", 1 / (1 + F.exp(-logit)))
-    return scored.select("doc_id", "text_key", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "evidence", "passages")
+    return scored.select("doc_id", "text_key", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "slight", "evidence", "passages")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
