@@ -9,15 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.workspace import Files
+
 BITMAP_BITS = 23
 
 
+_SESSIONS: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which executors share too."""
+    """The session's own folder in that of ``spark.checkpoint.dir``; where that is unset, in the warehouse, which must be shared then.
+
+    It goes when the driver's session ends.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext.applicationId not in _SESSIONS:
+        _SESSIONS.add(spark.sparkContext.applicationId)
+        Files(spark).remove_at_exit(spark.sparkContext.getCheckpointDir())
     return spark.sparkContext.getCheckpointDir()
 
 
