@@ -1,12 +1,14 @@
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from tests.conftest import SMALL
 from tests.llm import odd
-from tradewind.llm.quality import _largest, log_ratios, resample
+from tradewind.llm.quality import FEATURES, _largest, hashed_features, log_ratios, resample
 from tradewind.llm.queries import QUERIES
 
 
@@ -41,6 +43,41 @@ def test_ratios_are_those_of_the_counts(spark):
     assert set(np.round(ratios, 9)) <= values | {round(math.log((a + 1) / target / ((b + 1) / raw)), 9) for a in range(4) for b in range(7)}
 
 
+def brute_weights(texts, target):
+    """Log of the two models' ratio for each text, from dictionaries of words, marks and pairs."""
+    tokens = [re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+", t.lower()) for t in texts]
+    features = [[*w, *zip(w, w[1:])] for w in tokens]
+    raw, good = Counter(), Counter()
+    for i, f in enumerate(features):
+        raw.update(f)
+        if i in target:
+            good.update(f)
+    n_raw, n_good = (sum(c.values()) + FEATURES for c in (raw, good))
+    ratio = {x: math.log((good[x] + 1) / n_good) - math.log((raw[x] + 1) / n_raw) for x in raw}
+    return [sum(ratio[x] for x in f) for f in features], features
+
+
+def test_weights_equal_brute_force(spark):
+    """Texts of few features, none of which share a hash, so the hashed models are the plain ones."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(9)] + ["!!", "?"]
+    texts = [" ".join(rng.choices(words, k=rng.choice([1, 4, 40]))) for _ in range(60)]
+    target = set(range(0, 60, 3))
+    want, features = brute_weights(texts, target)
+    docs = odd.with_rows(spark, texts)
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    at, hashed = hashed_features(np.frombuffer(data, np.uint8), offsets)
+    assert len(set(hashed.tolist())) == len({x for f in features for x in f}) and np.bincount(at).tolist() == [len(f) for f in features]
+    labels = spark.createDataFrame([(i, int(i in target), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = odd.by_id(resample(docs, labels))
+    assert np.allclose([rows[i].log_ratio for i in range(60)], want, atol=1e-9)
+    even = odd.by_id(resample(docs, labels, evenly=24.0))
+    assert np.allclose([even[i].log_ratio for i in range(60)], [24 * w / len(f) for w, f in zip(want, features)], atol=1e-9)
+    for i in range(60):  # the same noise is added to either weight
+        assert abs((rows[i].sample_key - rows[i].log_ratio) - (even[i].sample_key - even[i].log_ratio)) < 1e-9
+
+
 def test_good_texts_are_kept(spark):
     sf = "/root/testdata/sf0.1"
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -1,8 +1,9 @@
 """Importance resampling of documents towards texts of high quality.
 
 Words and pairs of words fall into hashed features.  One model counts them over the whole corpus,
-one over texts labelled good; a document's weight is the mean log ratio of the two.  Gumbel noise
-from a hash of the document turns the top of the weights into a sample without replacement.
+one over texts labelled good; the log of a document's weight is the sum of its features' log ratios,
+that is the log of the two models' ratio for the text.  Gumbel noise from a hash of the document
+turns the top of the weights into a sample without replacement.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ from tradewind.llm.text import WORDS_AND_MARKS, byte_slices, mix, signed, tokeni
 FEATURES = 1 << 14
 #: Pseudo-counts over all features, spread evenly.
 SMOOTHING = 1.0
-#: How many features' worth of evidence the mean log ratio stands for.
-SHARPNESS = 24.0
 
 
 def hashed_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,14 +78,15 @@ def _largest(rows: DataFrame, column: str, k: int) -> int | None:
 
 
 def resample(documents: DataFrame, labels: DataFrame, teach: Column | None = None, share: float | None = None,
-             seed: int = 1, most_labelled: int = MOST_LABELLED) -> DataFrame:
+             seed: int = 1, most_labelled: int = MOST_LABELLED, evenly: float | None = None) -> DataFrame:
     """(doc_id, n_features, log_ratio, sample_key, selected) for every row of ``documents``.
 
     The target model learns from at most ``most_labelled`` rows with quality 1, picked by a hash;
     the raw model from all rows.  ``share`` of all rows is selected; by default the share of good
     ones among the labels.  The sample is by Gumbel top-k: reruns agree.  Rows that repeat doc_id
     and text have one key, and all rows with the last key that fits are selected.  A text without
-    words has the ratio 0.  Without labels of quality 1 every ratio is 0, and without any labels
+    words has the ratio 0.  With ``evenly`` every text weighs as so many features of its mean log
+    ratio, whatever its length; that is no longer the models' ratio.  Without labels of quality 1 every ratio is 0, and without any labels
     all rows are selected.  Other columns are not read.
     """
     spark = documents.sparkSession
@@ -104,9 +104,9 @@ def resample(documents: DataFrame, labels: DataFrame, teach: Column | None = Non
                 rows, features = hashed_features(data, offsets)
                 n = np.bincount(rows, minlength=last - first)
                 sums = np.bincount(rows, weights=shared.value[features], minlength=last - first)
-                ratio = sums / np.maximum(n, 1)
+                ratio = sums if evenly is None else evenly * sums / np.maximum(n, 1)
                 chance = ((mix(keys[first:last], seed + 41) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
-                key = SHARPNESS * ratio - np.log(-np.log(chance))
+                key = ratio - np.log(-np.log(chance))
                 bits = (key + 0.0).view(np.int64)
                 yield store.table(
                     doc_id=batch.column(0).slice(first, last - first),
