@@ -39,7 +39,8 @@ def plain_number(text: Column) -> Column:
     middle = F.concat(F.substring(digits, F.lit(1), split), F.lit("."), F.substring(digits, split + 1, F.length(digits)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -split), digits)
     plain = F.when(power >= places, large).when(split > 0, middle).otherwise(small)
-    return F.when(text.rlike(_POWER), F.concat(sign, plain)).otherwise(text)
+    # Few numbers hold an E, and only those are taken apart.
+    return F.when(text.contains("E") & text.rlike(_POWER), F.concat(sign, plain)).otherwise(text)
 
 
 def _guard(text: Column) -> Column:
