@@ -174,3 +174,23 @@ def test_only_continued_roots_move_their_cursor(spark, shop, tmp_path):
     assert log.cursors() == {"orders": 4}
     export_relational(shop, str(tmp_path / "2"), "customers", specs={"customers": FilterSpec(incremental=True)}, log=log)
     assert log.cursors() == {"orders": 4, "customer": 5}
+
+
+def test_a_call_that_cannot_succeed_leaves_nothing(spark, shop, tmp_path):
+    """Its dimensions are there already, or a table of the shop's own has a dimension's name."""
+    export_relational(shop, str(tmp_path / "a"), "customers")
+    held = visible(str(tmp_path / "a"))
+    assert "country" in held
+    with pytest.raises(FileExistsError, match="country"):
+        export_relational(shop.replace(orders=shop["orders"].withColumn("id_country", F.lit(8).cast("long"))), str(tmp_path / "a"), "orders")
+    assert visible(str(tmp_path / "a")) == held and not glob.glob(f"{tmp_path}/a/_*")
+
+
+def test_stored_parents_that_are_gone_are_stored_again(spark, shop, tmp_path):
+    path, scratch = str(tmp_path / "out"), str(tmp_path / "scratch")
+    with pytest.raises(Exception, match="unreadable"):
+        export_relational(broken(shop), path, "orders", "complete", scratch=scratch)
+    for table in glob.glob(f"{scratch}/*/*"):
+        commit.Files(spark).remove(table)
+    done = export_relational(shop, path, "orders", "complete", scratch=scratch)
+    assert ids(spark, done) == [1, 2, 3, 4, 5] and not glob.glob(f"{scratch}/*")

@@ -84,8 +84,7 @@ class Staging:
         place = f"{self.folder}/start.json"
         if (before := self._files.read_json(place)) != dict(start):
             if before is not None:
-                self._files.remove(self.tables)
-                self._files.remove(self.folder)
+                self.drop()
             self._files.write_json(place, dict(start))
 
     def _marker(self, name: str) -> str:
@@ -93,8 +92,9 @@ class Staging:
 
     def keep(self, name: str, place: str, write: Callable[[str], dict | None]) -> dict:
         """What ``write`` tells of the dataset it wrote to ``place``, now or in a run before."""
-        if (facts := self._files.read_json(self._marker(name))) is not None:
+        if (facts := self._files.read_json(self._marker(name))) is not None and self._files.exists(place):
             return facts
+        self._files.remove(self._marker(name))
         self._files.remove(place)
         try:
             facts = write(place) or {}
@@ -113,6 +113,11 @@ class Staging:
         self.keep(f"table-{name}", place, lambda p: rows.write.parquet(p))
         return self.spark.read.parquet(place)
 
+    def drop(self) -> None:
+        """Remove all that is staged, for a call that can never succeed as it is."""
+        self._files.remove(self.tables)
+        self._files.remove(self.folder)
+
     def refuse_to_replace(self, outputs: Mapping[str, str]) -> None:
         if there := sorted(n for n, p in outputs.items() if self._files.exists(p)):
             raise FileExistsError(f"already exported to {self.path}: {', '.join(there)}")

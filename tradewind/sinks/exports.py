@@ -103,6 +103,7 @@ def export_relational(
     if include_reference:
         bundle = reference_bundle(shop, tables, store)
         if clashes := sorted(set(bundle) & set(tables)):
+            staging.drop()
             raise ValueError(f"two sources claim one dataset: {', '.join(clashes)}")
         tables.update(bundle)
         sort_keys |= {n: REFERENCE_TABLES[n.removesuffix("_lang")][0] for n in bundle}
@@ -110,7 +111,11 @@ def export_relational(
         tables = {name: rows.orderBy(sort_keys[name]) for name, rows in tables.items()}
 
     outputs = {name: f"{staging.path}/{name}" for name in tables}
-    staging.refuse_to_replace(outputs)
+    try:
+        staging.refuse_to_replace(outputs)
+    except FileExistsError:
+        staging.drop()
+        raise
     write_all(staging, {name: _writer(rows, options) for name, rows in tables.items()}, options.writes_at_once)
     last = {
         name: tables[name].agg(F.coalesce(F.max(key), F.lit(start))).first()[0]
