@@ -1,13 +1,13 @@
-"""A log-bilinear language model over a binary tree of all counted tokens.
+"""A log-bilinear language model over all counted tokens, trained by noise-contrastive estimation.
 
-The leaves of the tree are the tokens in order of frequency; every inner node parts its leaves
-into two runs of about equal frequency.  The ``CLASSES`` most frequent tokens have leaves of their
-own, the others share leaves by their hash, whose number grows with theirs to ``1 << SHARED_BITS``.
 The vector predicted for the next leaf is the sum of the context leaves' vectors, each scaled by
-weights of its position; its product with a node's vector, plus a bias, decides by a logistic
-function between the node's two sides.  So the chances of all leaves add up to 1, and a token
-costs about as many products as its frequency has bits, whatever the vocabulary.  Within a shared
-leaf a token has its smoothed frequency.
+weights of its position; its product with a target vector, plus a bias, is a score.  The output has
+two levels: the leaves in order of frequency are cut into groups, and a leaf's chance is its group's
+times its own within the group, each a score's exponential over the sum of all of its level, taken
+by batched products.  So the chances of all leaves add up to 1.  Training never takes those sums:
+it tells tokens from noise drawn by frequency, for both levels.  The ``CLASSES`` most frequent
+tokens have leaves of their own, the others share leaves by their hash, whose number grows with
+theirs to ``1 << SHARED_BITS``.  Within a shared leaf a token has its smoothed frequency.
 """
 
 from __future__ import annotations
@@ -32,152 +32,174 @@ SHARERS, SHARED_BITS = 16, 16
 WIDTH = 24
 CONTEXT = 2
 END = 0
-#: The first nodes meet all tokens of a batch in one product.
-_BATCH, _TOP = 2048, 63
+#: Tokens of a training step; noise groups that all of them meet; tokens of one group that meet the same noise, and how much.
+_BATCH, _NOISE, _RUN, _RUN_NOISE = 8192, 64, 32, 8
+_RATE = np.float32(0.1)
+#: Tokens scored at a time, and scores held at a time.
+_SCORED, _CELLS = 1 << 17, 1 << 17
+#: Training tokens of a task, about 100 MB of text.
+TASK_TOKENS = 1 << 24
 #: Vectors that go through the shuffle as one row.
 _BLOCK = 256
 
 
 @dataclass
-class Tree:
-    """For each leaf the inner nodes from the root on and the side taken there (1 or -1); the nodes' biases."""
+class Groups:
+    """Leaves by falling frequency, and the groups they are cut into."""
 
+    order: np.ndarray
+    rank: np.ndarray
     bounds: np.ndarray
-    nodes: np.ndarray
-    sides: np.ndarray
-    bias: np.ndarray
+    own: np.ndarray
 
     @staticmethod
-    def over(frequencies: np.ndarray) -> Tree:
-        """Leaves by falling frequency, parted level by level where half of a node's sum is reached."""
-        leaves = len(frequencies)
+    def over(frequencies: np.ndarray) -> Groups:
+        """Groups whose square roots of chances sum up to about 1: that many, cut there, cost a token the fewest products."""
         order = np.argsort(-frequencies, kind="stable")
-        sums = np.concatenate([[0.0], np.cumsum(frequencies[order])])
-        low, high, first = np.zeros(1, np.int64), np.full(1, leaves, np.int64), 0
-        steps, biases = [], []
-        while True:
-            low, high = low[high - low > 1], high[high - low > 1]
-            if not len(low):
-                break
-            cut = np.searchsorted(sums, (sums[low] + sums[high]) / 2)
-            cut -= (cut > low) & (sums[cut] - (sums[low] + sums[high]) / 2 > (sums[low] + sums[high]) / 2 - sums[cut - 1])
-            cut = np.clip(cut, low + 1, high - 1)
-            biases.append(np.log((sums[high] - sums[cut]) / (sums[cut] - sums[low])))
-            own = np.repeat(np.arange(len(low)), high - low)
-            place = np.arange(len(own)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[own]
-            steps.append((order[place], first + own, np.where(place >= cut[own], 1, -1)))
-            first += len(low)
-            low, high = np.stack([low, cut], axis=1).ravel(), np.stack([cut, high], axis=1).ravel()
-        if not steps:
-            return Tree(np.zeros(leaves + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32))
-        leaf, nodes, sides = (np.concatenate(x) for x in zip(*steps))
-        by_leaf = np.argsort(leaf, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=leaves))])
-        return Tree(bounds, nodes[by_leaf].astype(np.int32), sides[by_leaf].astype(np.float32), np.concatenate(biases).astype(np.float32))
-
-    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths, nodes and sides of the leaves' paths, one after the other."""
-        lengths = self.bounds[leaves + 1] - self.bounds[leaves]
-        ends = np.cumsum(lengths)
-        at = np.arange(lengths.sum()) + np.repeat(self.bounds[leaves] - ends + lengths, lengths)
-        return lengths, self.nodes[at], self.sides[at]
-
-
-def _log_logistic(x: np.ndarray) -> np.ndarray:
-    return -np.logaddexp(np.float32(0), -x)
+        roots = np.sqrt(frequencies[order] / frequencies.sum())
+        _, first, own = np.unique(np.floor(np.cumsum(roots) - roots), return_index=True, return_inverse=True)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return Groups(order, rank, np.append(first, len(order)), own)
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _log_share(q: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log chance of the chosen one of ``vectors`` for each row, normalised over all of them."""
+    scores = q @ vectors.T
+    scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(q)), chosen].astype(np.float64)
+    return own - np.log(np.exp(scores, out=scores) @ np.ones(len(vectors), np.float32))
 
 
 @dataclass
 class Model:
-    """Parameters: context vectors, position weights and node vectors, each with its bias behind."""
+    """Parameters: context vectors, position weights and target vectors, each with its bias behind.
 
-    tree: Tree
+    Targets are the groups, then the leaves by falling frequency.
+    """
+
+    groups: Groups
     context: np.ndarray
     position: np.ndarray
     target: np.ndarray
 
     @staticmethod
     def fresh(frequencies: np.ndarray, width: int = WIDTH, seed: int = 7) -> Model:
-        """Small random vectors, none for nodes; the biases alone give the frequencies.  One more context is the start."""
-        rng, n, tree = np.random.default_rng(seed), len(frequencies), Tree.over(frequencies)
+        """Small random contexts, no target vectors; the biases alone give the frequencies.  One more context is the start."""
+        rng, n, groups = np.random.default_rng(seed), len(frequencies), Groups.over(frequencies)
         context = 0.1 * rng.standard_normal((n + 1, width), np.float32)
-        target = np.zeros((len(tree.bias), width + 1), np.float32)
-        target[:, -1] = tree.bias
-        return Model(tree, context, np.ones((CONTEXT, width), np.float32), target)
+        target = np.zeros((len(groups) + n, width + 1), np.float32)
+        target[:, -1] = np.concatenate(_log_noise(np.log(frequencies / frequencies.sum()), groups)[1:])
+        return Model(groups, context, np.ones((CONTEXT, width), np.float32), target)
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The last place is for the bias."""
-        q = self.context[contexts[:, 0]] * self.position[0]
+        q = np.ones((len(contexts), self.target.shape[1]), np.float32)
+        q[:, :-1] = self.context[contexts[:, 0]] * self.position[0]
         for j in range(1, CONTEXT):
-            q += self.context[contexts[:, j]] * self.position[j]
-        return np.concatenate([q, np.ones((len(q), 1), np.float32)], axis=1)
+            q[:, :-1] += self.context[contexts[:, j]] * self.position[j]
+        return q
 
     def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
         """Of every leaf, for each context."""
-        leaves = len(self.tree.bounds) - 1
-        lengths, nodes, sides = self.tree.paths(np.arange(leaves))
-        if not len(nodes):
-            return np.zeros((len(contexts), leaves))
-        steps = _log_logistic((self.predicted(contexts) @ self.target.T)[:, nodes] * sides)
-        return np.add.reduceat(steps.astype(np.float64), np.cumsum(lengths) - lengths, axis=1)
-
-    def _steps(self, targets: np.ndarray):
-        """Sides taken at the first ``_TOP`` nodes, for all targets; token, node and side of the other steps."""
-        lengths, nodes, sides = self.tree.paths(targets)
-        own = np.repeat(np.arange(len(targets)), lengths)
-        top = nodes < _TOP
-        taken = np.zeros((len(targets), min(_TOP, len(self.target))), np.float32)
-        taken[own[top], nodes[top]] = sides[top]
-        return taken, own[~top], nodes[~top], sides[~top]
+        scores = (self.predicted(contexts) @ self.target.T).astype(np.float64)
+        group, leaf = scores[:, : len(self.groups)], scores[:, len(self.groups) :]
+        group = group - np.logaddexp.reduce(group, axis=1)[:, None] - np.logaddexp.reduceat(leaf, self.groups.bounds[:-1], axis=1)
+        return (leaf + group[:, self.groups.own])[:, self.groups.rank]
 
     def log_chances(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Of one leaf for each context."""
-        out = np.zeros(len(targets))
-        for at in range(0, len(targets) if len(self.target) else 0, _BATCH):
-            taken, own, nodes, sides = self._steps(targets[at : at + _BATCH])
-            q = self.predicted(contexts[at : at + _BATCH])
-            # A node off the path has side 0 and adds log 2.
-            logs = -np.log1p(np.exp(-np.clip((q @ self.target[:_TOP].T) * taken, -80, 80))).sum(axis=1, dtype=np.float64)
-            logs += math.log(2) * (taken == 0).sum(axis=1)
-            rest = _log_logistic(np.einsum("ij,ij->i", q[own], self.target[nodes]) * sides)
-            out[at : at + _BATCH] = logs + np.bincount(own, weights=rest, minlength=len(q))
+        parts = range(0, len(targets), _SCORED)
+        return np.concatenate([np.zeros(0), *(self._log_chances(contexts[i : i + _SCORED], targets[i : i + _SCORED]) for i in parts)])
+
+    def _log_chances(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """The tokens of one group meet its leaves in one product."""
+        q, ranks = self.predicted(contexts), self.groups.rank[targets]
+        order, own, first = _by_group(self.groups.own[ranks])
+        q, ranks = q[order], ranks[order]
+        n, logs = len(self.groups), np.empty(len(q))
+        for i in range(0, len(q), max(1, _CELLS // n)):
+            part = slice(i, i + max(1, _CELLS // n))
+            logs[part] = _log_share(q[part], self.target[:n], own[part])
+        for a, b in zip(first[:-1], first[1:]):
+            low, high = self.groups.bounds[own[a]], self.groups.bounds[own[a] + 1]
+            step = max(1, _CELLS // (high - low))
+            for i in range(a, b, step):
+                part = slice(i, min(b, i + step))
+                logs[part] += _log_share(q[part], self.target[n + low : n + high], ranks[part] - low)
+        out = np.empty(len(q))
+        out[order] = logs
         return out
 
-    def train(self, contexts: np.ndarray, targets: np.ndarray, _, rng, state: list) -> None:
-        """One pass in random order by adaptive gradient steps on the log chances."""
-        order = rng.permutation(len(targets))
-        for at in range(0, len(targets) if len(self.target) else 0, _BATCH):
-            c, w = contexts[order[at : at + _BATCH]], targets[order[at : at + _BATCH]]
-            taken, own, nodes, sides = self._steps(w)
-            q, top = self.predicted(c), self.target[:_TOP]
-            g_top = -taken / (1 + np.exp(np.clip((q @ top.T) * taken, -30, 30)))
-            g_q = g_top @ top
-            touched = np.flatnonzero(taken.any(axis=0))
-            updates = [(self.target, touched, (g_top.T @ q)[touched], state[0])]
-            if len(nodes):
-                each, theirs = q[own], self.target[nodes]
-                g = (-sides / (1 + np.exp(np.clip(np.einsum("ij,ij->i", each, theirs) * sides, -30, 30))))[:, None]
-                theirs *= g
-                each *= g
-                deep, first = own[np.r_[True, own[1:] != own[:-1]]], np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                g_q[deep] += np.add.reduceat(theirs, first, axis=0)
-                g_node, below = _by_class(nodes, each)
-                updates.append((self.target, below, g_node, state[0]))
-                state[4][below] += 1
+    def train(self, contexts: np.ndarray, targets: np.ndarray, noise: np.ndarray, rng, state: list) -> None:
+        """One pass in random order; ``noise`` has the log chance by which each leaf is drawn as noise.
+
+        A token's group is told from ``_NOISE`` groups drawn for the whole batch, the token itself
+        from ``_RUN_NOISE`` leaves drawn from its group for each run of ``_RUN`` tokens of it.
+        Steps are adaptive in each parameter.
+        """
+        groups, n = self.groups, len(self.groups)
+        sums, log_group, log_leaf = _log_noise(noise.astype(np.float64), groups)
+        ends = sums[groups.bounds]
+        log_group, log_leaf = (log_group + math.log(_NOISE)).astype(np.float32), (log_leaf + math.log(_RUN_NOISE)).astype(np.float32)
+        shuffled = rng.permutation(len(targets))
+        for at in range(0, len(shuffled), _BATCH):
+            batch = shuffled[at : at + _BATCH]
+            ranks = groups.rank[targets[batch]]
+            order, own, first = _by_group(groups.own[ranks])
+            c, ranks = contexts[batch[order]], ranks[order]
+            q, met = self.predicted(c), own[first[:-1]]
+
+            drawn = np.clip(np.searchsorted(ends, rng.random(_NOISE) * ends[-1], "right") - 1, 0, n - 1)
+            vectors, true = self.target[drawn], self.target[own]
+            g = _logistic(q @ vectors.T - log_group[drawn])
+            e = (_logistic(np.einsum("ij,ij->i", q, true) - log_group[own]) - 1)[:, None]
+            g_q = g @ vectors + e * true
+            rows, steps = [drawn, met], [g.T @ q, np.add.reduceat(e * q, first[:-1], axis=0)]
+
+            lengths = np.diff(first)
+            runs = -(-lengths // _RUN)
+            place = np.arange(len(own)) - np.repeat(first[:-1], lengths)
+            run = np.repeat(np.cumsum(runs) - runs, lengths) + place // _RUN
+            # Empty places of a run are 0 and move nothing.
+            padded = np.zeros((runs.sum(), _RUN, q.shape[1]), np.float32)
+            padded[run, place % _RUN] = q
+            low, high = (np.repeat(groups.bounds[met + i], runs)[:, None] for i in (0, 1))
+            leaves = sums[low] + rng.random((len(low), _RUN_NOISE)) * (sums[high] - sums[low])
+            leaves = np.clip(np.searchsorted(sums, leaves, "right") - 1, low, high - 1)
+            vectors, true = self.target[n + leaves], self.target[n + ranks]
+            g = _logistic(padded @ vectors.transpose(0, 2, 1) - log_leaf[leaves][:, None, :])
+            e = (_logistic(np.einsum("ij,ij->i", q, true) - log_leaf[ranks]) - 1)[:, None]
+            g_q += (g @ vectors)[run, place % _RUN] + e * true
+            rows += [n + leaves.ravel(), n + ranks]
+            steps += [(g.transpose(0, 2, 1) @ padded).reshape(-1, q.shape[1]), e * q]
+
+            g_target, touched = _by_class(np.concatenate(rows), np.concatenate(steps))
             g_q = g_q[:, None, :-1]
             g_context, seen = _by_class(c.ravel(), (g_q * self.position).reshape(-1, self.position.shape[1]))
             g_position = (g_q * self.context[c]).sum(axis=0)
-            for x, rows, g, s in [*updates, (self.context, seen, g_context, state[1])]:
-                sums = s[rows] + g * g
-                s[rows] = sums
-                x[rows] -= 0.1 * g / np.sqrt(sums + 1.0)
+            for x, at_rows, step, s in ((self.target, touched, g_target, state[0]), (self.context, seen, g_context, state[1])):
+                squares = s[at_rows] + step * step
+                s[at_rows] = squares
+                squares += 1
+                np.sqrt(squares, out=squares)
+                step /= squares
+                step *= _RATE
+                x[at_rows] -= step
             state[2] += g_position * g_position
             self.position -= 0.05 * g_position / np.sqrt(state[2] + 1.0)
             state[3][seen] += 1
             state[4][touched] += 1
 
     def rows(self) -> np.ndarray:
-        """All parameters: a row for each context, node and position."""
+        """All parameters: a row for each context, target and position."""
         out = np.zeros((len(self.context) + len(self.target) + CONTEXT, self.target.shape[1]), np.float32)
         out[: len(self.context), :-1], out[-CONTEXT:, :-1] = self.context, self.position
         out[len(self.context) : -CONTEXT] = self.target
@@ -185,12 +207,26 @@ class Model:
 
     def with_rows(self, rows: np.ndarray) -> Model:
         context, position = rows[: len(self.context), :-1], rows[-CONTEXT:, :-1]
-        return Model(self.tree, *(np.ascontiguousarray(x) for x in (context, position, rows[len(self.context) : -CONTEXT])))
+        return Model(self.groups, *(np.ascontiguousarray(x) for x in (context, position, rows[len(self.context) : -CONTEXT])))
 
     def steps(self) -> list:
-        """Sums of squared gradients; how many batches touched each context and node."""
-        sums = [np.zeros_like(x) for x in (self.target, self.context, self.position)]
-        return [*sums, np.zeros(len(self.context), np.int64), np.zeros(len(self.target), np.int64)]
+        """Sums of squared gradients; how many batches touched each context and target."""
+        sums = [np.zeros_like(x) for x in (self.target, self.context)]
+        return [*sums, np.zeros_like(self.position), np.zeros(len(self.context), np.int64), np.zeros(len(self.target), np.int64)]
+
+
+def _log_noise(logs: np.ndarray, groups: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running sums of the chances by rank; log chances of the groups, and of each rank's leaf within its group."""
+    sums = np.concatenate([[0.0], np.cumsum(np.exp(logs[groups.order]))])
+    of_group = np.log(np.diff(sums[groups.bounds]))
+    return sums, of_group, logs[groups.order] - of_group[groups.own]
+
+
+def _by_group(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by group, the groups in it, and where each begins, with the end."""
+    order = np.argsort(groups, kind="stable")
+    own = groups[order]
+    return order, own, np.append(np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)]), len(own))
 
 
 def _by_class(classes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,8 +335,9 @@ def train(taught: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
     Every task trains on its own rows from one start; each vector is averaged by how often tasks touched it.
 
-    A task returns only what it touched, and there are no more tasks than cores, so the vectors
-    that are shuffled do not grow with the rows.  They travel as 16-bit floats.
+    A task takes about ``TASK_TOKENS`` tokens, fewer if there are cores for more tasks, and returns
+    what it touched, as 16-bit floats: the vectors that are shuffled are a fraction of the texts,
+    and a lost executor repeats a bounded share of the work.
     """
     spark = taught.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -309,11 +346,12 @@ def train(taught: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         known = shared.value
         model, rng = Model.fresh(known.frequencies), np.random.default_rng(11)
         state, start = model.steps(), len(known.frequencies)
+        noise = np.log(known.frequencies / known.frequencies.sum())
         for batch in batches:
             for _, _, data, offsets in byte_slices(batch.column(0), 1 << 20):
                 hashes, bounds = _tokens(data, offsets)
                 _, classes = _classes(hashes, known)
-                model.train(_contexts(classes, bounds, start), classes, None, rng, state)
+                model.train(_contexts(classes, bounds, start), classes, noise, rng, state)
         seen = np.concatenate([state[3], state[4], np.full(CONTEXT, state[3].sum())])
         moved = model.rows() - Model.fresh(known.frequencies).rows()
         for at in range(0, len(seen), _BLOCK):
@@ -333,11 +371,11 @@ def train(taught: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         means = (sums / np.maximum(total, 1)[:, None]).astype(np.float16)
         return pa.table({"block": tasks["block"][:1], "moved": pa.array([means.tobytes()], pa.binary())})
 
-    texts = taught.select(utf8().alias("text")).coalesce(spark.sparkContext.defaultParallelism)
+    texts = taught.select(utf8().alias("text")).coalesce(max(spark.sparkContext.defaultParallelism, -(-vocabulary.n // TASK_TOKENS)))
     models = texts.mapInArrow(scan, "block int, seen binary, moved binary")
     means = models.groupBy("block").applyInArrow(mean, "block int, moved binary").toArrow()
-    leaves = vocabulary.n_classes + len(vocabulary.shared)
-    out = np.zeros((2 * leaves + CONTEXT, WIDTH + 1), np.float16)
+    frequencies = vocabulary.frequencies
+    out = np.zeros((2 * len(frequencies) + 1 + len(Groups.over(frequencies)) + CONTEXT, WIDTH + 1), np.float16)
     for block, moved in zip(means["block"].to_pylist(), means["moved"].to_pylist()):
         out[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(moved, np.float16).reshape(-1, WIDTH + 1)
     return out
