@@ -117,3 +117,52 @@ def test_every_counted_token_has_a_leaf(spark, monkeypatch):
         assert np.allclose(np.exp(logs).sum(axis=1), 1)
         leaves = np.arange(len(known.frequencies))
         assert np.allclose(model.log_chances(np.repeat(contexts[:1], len(leaves), axis=0), leaves), logs[0], atol=1e-4)
+
+
+def test_training_tells_tokens_from_drawn_noise():
+    """A leaf that is only ever drawn as noise becomes less likely; one that is never drawn stays where it was."""
+    frequencies = np.array([4.0, 4.0, 4.0, 4.0])
+    targets, contexts = np.zeros(20_000, np.int64), np.ones((20_000, 2), np.int64)
+    groups = Model.fresh(frequencies, 6).groups
+    mates = np.flatnonzero(groups.own[groups.rank] == groups.own[groups.rank[0]])
+    assert 1 < len(mates)
+    drawn, shunned = mates[mates != 0][0], np.full(4, math.log(0.25))
+    shunned[drawn] = -60.0
+    for noise, expected in ((np.log(frequencies / 16), True), (shunned, False)):
+        model = Model.fresh(frequencies, 6)
+        before = model.target.copy()
+        model.train(contexts, targets, noise, np.random.default_rng(3), model.steps())
+        row = len(groups) + groups.rank[drawn]
+        assert (model.target[row] != before[row]).any() == expected
+    model = Model.fresh(frequencies, 6)
+    model.train(contexts, targets, np.log(frequencies / 16), np.random.default_rng(3), model.steps())
+    assert model.log_probabilities(contexts[:1])[0, drawn] < math.log(0.25) < model.log_probabilities(contexts[:1])[0, 0]
+
+
+def test_scores_of_noise_contrast_come_near_the_law_before_normalising():
+    """What sets it apart from training on the normalised chances: the bare scores sum up to about 1."""
+    rng = np.random.default_rng(1)
+    law = np.array([0.4, 0.3, 0.2, 0.06, 0.04])
+    before = rng.integers(0, 2, 80_000)
+    after = np.where(before == 0, rng.choice(5, 80_000, p=law), rng.choice(5, 80_000, p=law[::-1]))
+    frequencies = np.bincount(after, minlength=5).astype(float)
+    model = Model.fresh(frequencies)
+    contexts = np.stack([before, np.full(80_000, 5)], axis=1)
+    state = model.steps()
+    for _ in range(5):
+        model.train(contexts, after, np.log(frequencies / frequencies.sum()), rng, state)
+    two = np.array([[0, 5], [1, 5]])
+    assert np.abs(np.exp(model.log_probabilities(two)) - [law, law[::-1]]).max() < 0.06
+    scores, n = np.exp(model.predicted(two) @ model.target.T), len(model.groups)
+    assert np.allclose(scores[:, :n].sum(axis=1), 1, atol=0.15)
+    assert np.allclose(np.add.reduceat(scores[:, n:], model.groups.bounds[:-1], axis=1), 1, atol=0.25)
+
+
+def test_groups_cost_a_token_few_products():
+    frequencies = 1e6 / np.arange(1, 50_001)
+    groups = neural.Groups.over(np.random.default_rng(2).permutation(frequencies))
+    chances = np.sort(frequencies / frequencies.sum())[::-1]
+    assert sorted(groups.order) == list(range(50_000)) and (groups.order[groups.rank] == np.arange(50_000)).all()
+    within = np.add.reduceat(chances, groups.bounds[:-1]) @ np.diff(groups.bounds)
+    assert len(groups) + within < 0.7 * 2 * math.sqrt(50_000)
+    assert len(neural.Groups.over(np.ones(1))) == 1
