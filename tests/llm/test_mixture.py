@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.llm import odd
@@ -61,3 +64,32 @@ def test_odd_rows(spark):
     assert mix(odd.no_documents(spark)).collect() == []
     empty = mix(odd.documents(spark).withColumn("text", F.lit(None).cast("string"))).collect()
     assert len(empty) == len(odd.TEXTS) and not any(r.taken for r in empty)
+
+
+def test_targets_of_many_sources(spark):
+    """Against the shares found by filling sources one after the other."""
+    rng = np.random.default_rng(4)
+    sizes = rng.zipf(1.3, 50_000).clip(1, 10**7).astype(int)
+    names = sorted(f"s{i}" for i in range(50_000))
+    frame = spark.createDataFrame(pd.DataFrame({"source": names, "source_size": sizes}))
+    got = mixture.targets(frame).toPandas().set_index("source")["target"]
+    weights = np.array([mixture.WEIGHTS[i % 3] for i in range(50_000)])
+    caps, total = 3 * sizes, sizes.sum()
+    full = np.zeros(50_000, bool)
+    while True:
+        level = (total - caps[full].sum()) / weights[~full].sum()
+        over = ~full & (level * weights > caps)
+        if not over.any():
+            break
+        full |= over
+    want = np.where(full, caps, level * weights)
+    assert np.allclose(got.loc[names], want, rtol=1e-9)
+    assert math.isclose(got.sum(), total, rel_tol=1e-9)
+
+
+def test_running_totals_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "BLOCK_PARTS", 3)
+    rows = spark.range(500).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 20).alias("part"), "id")
+    got = mixture._running(rows, ["k"], "part", [F.col("id")], "id", "upto").collect()
+    assert len(got) == 500
+    assert all(r.upto == sum(range(r.k, r.id + 1, 2)) for r in got)

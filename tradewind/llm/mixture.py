@@ -6,8 +6,8 @@ by that time, all sources advance in proportion to their targets.  The mix is th
 that fits the total budget.
 
 Running totals never need a source, or the whole table, in one task: rows are sorted within small
-parts of the order, the parts' sums are accumulated over parts, and each row adds what came before
-its part.
+parts of the order, the parts' sums are accumulated within blocks of parts, the blocks' sums over
+blocks, and each row adds what came before its part.  Sources are summed up by ranges likewise.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ REPEATS = 3
 WEIGHTS = (1, 2, 3)
 #: Rows of a part of the order, on average.
 PART_ROWS = 2048
+#: Parts whose sums are added up in one task, and ranges that sources are sorted in.
+BLOCK_PARTS, RANGES = 1024, 32
 
 
 def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
@@ -32,42 +34,66 @@ def targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
     min(level * weight, cap) is the total: with sources by cap per weight, the first ones are full
     and the level is what is left per weight of the rest.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), ((place - 1) % len(WEIGHTS) + 1).cast("int")).cast("long")
-    rows = sizes.select("source", "source_size", weight.alias("weight"))
-    everything = Window.partitionBy()
-    order = Window.orderBy((repeats * F.col("source_size") / F.col("weight")), F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(
-        "source",
-        "source_size",
-        "weight",
-        F.sum("source_size").over(everything).alias("total"),
-        F.sum("weight").over(everything).alias("weights"),
-        F.row_number().over(order).alias("k"),
-        F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("sizes_before"),
-        F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("weights_before"),
+    by_source = [F.col("source").isNull(), F.col("source")]
+    rows = _in_order(sizes.select("source", "source_size"), by_source, {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    by_cap = [repeats * F.col("source_size") / F.col("weight"), *by_source]
+    rows = store.checkpoint(
+        _in_order(
+            rows.select("source", "source_size", weight.alias("weight")),
+            by_cap,
+            {"sizes_before": F.col("source_size"), "weights_before": F.col("weight")},
+        )
     )
-    left = F.col("total") - repeats * F.col("sizes_before")
-    open_weight = F.col("weights") - F.col("weights_before")
+    total, weights = (F.lit(x or 0).cast("long") for x in rows.agg(F.sum("source_size"), F.sum("weight")).first())
+    left = total - repeats * F.col("sizes_before")
+    open_weight = weights - F.col("weights_before")
     # The first source that its cap does not stop: its share of what is left is within its cap.
     fits = left * F.col("weight") <= repeats * F.col("source_size") * open_weight
-    rows = rows.withColumn("level_at", F.min(F.when(fits, F.struct("k", left.alias("left"), open_weight.alias("open")))).over(everything))
-    free = F.col("k") >= F.col("level_at.k")
+    first = F.min(F.when(fits, F.struct(*_fields(by_cap), left.alias("left"), open_weight.alias("open")))).alias("at")
+    level_left, level_open = rows.agg(first).select("at.left", "at.open").first()
+    level_left, level_open = (F.lit(x).cast("long") for x in (level_left, level_open))
+    free = open_weight <= level_open
     return rows.select(
         "source",
         "source_size",
-        F.when(free, F.col("level_at.left") * F.col("weight") / F.col("level_at.open"))
+        F.when(free, level_left * F.col("weight") / level_open)
         .otherwise((repeats * F.col("source_size")).cast("double"))
         .alias("target"),
     )
 
 
+def _fields(order: list[Column]) -> list[Column]:
+    """The columns of an order as fields that compare alike."""
+    return [c.alias(f"o{i}") for i, c in enumerate(order)]
+
+
+def _in_order(rows: DataFrame, order: list[Column], amounts: dict[str, Column]) -> DataFrame:
+    """Add, for each amount, its sum over the rows before in a global order.
+
+    Rows are sorted in ranges; only the ranges' sums, one row each, are added up in one place.
+    """
+    ranges = store.checkpoint(rows.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("_range").agg(*[F.sum(x.cast("long")).alias(f"_{name}") for name, x in amounts.items()])
+    sums = sums.select("_range", *[F.coalesce(F.sum(f"_{name}").over(ahead), F.lit(0)).alias(f"_{name}") for name in amounts])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranges.select("*", *[F.coalesce(F.sum(x.cast("long")).over(inside), F.lit(0)).alias(name) for name, x in amounts.items()])
+    both = own.join(sums, "_range")
+    return both.select(*rows.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in amounts])
+
+
 def _running(rows: DataFrame, keys: list[str], part: str, order: list[Column], amount: str, name: str) -> DataFrame:
     """Add the running total of ``amount`` within ``keys``, by ``part`` and then ``order``."""
     parts = rows.groupBy(*keys, part).agg(F.sum(amount).alias("_sum"))
-    ahead = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, part, F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    parts = store.checkpoint(parts.withColumn("_block", F.floor(F.col(part) / BLOCK_PARTS).cast("long")))
+    before = (Window.unboundedPreceding, -1)
+    blocks = parts.groupBy(*keys, "_block").agg(F.sum("_sum").alias("_all"))
+    ahead = F.sum("_all").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(*before))
+    blocks = blocks.select(*keys, "_block", F.coalesce(ahead, F.lit(0)).alias("_blocks"))
+    inside = F.sum("_sum").over(Window.partitionBy(*keys, "_block").orderBy(part).rowsBetween(*before))
+    parts = parts.withColumn("_parts", F.coalesce(inside, F.lit(0))).join(blocks, [*keys, "_block"])
+    parts = parts.select(*keys, part, (F.col("_blocks") + F.col("_parts")).alias("_ahead"))
     within = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.withColumn("_own", F.sum(amount).over(within)).join(parts, [*keys, part])
     return joined.withColumn(name, F.col("_ahead") + F.col("_own")).drop("_ahead", "_own")
