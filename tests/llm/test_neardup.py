@@ -128,3 +128,26 @@ def test_every_text_of_a_doc_id_is_compared(spark):
     keys = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kept = kept.join(keys, ["doc_id", "text_key"]).select("doc_id", "text", "n_rows").collect()
     assert {(r.doc_id, r.text, r.n_rows) for r in kept} == {(5, one, 1), (5, two, 1), (5, None, 1), (11, "alone here", 2), (-3, "x y", 1)}
+
+
+
+def test_no_table_of_links_or_pairs_is_broadcast(spark, monkeypatch):
+    """Labels and pairs grow with the documents; the driver must not collect them to send them."""
+    from tradewind.llm import store
+
+    plans, compact = [], store.compact
+
+    def watched(df, *args):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return compact(df, *args)
+
+    monkeypatch.setattr(store, "compact", watched)
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "u long, v long")
+    assert {r.component for r in connected_components(links).collect()} == {0, 100}
+    assert plans and not [p for p in plans if "BroadcastExchange" in p]
+    base = " ".join(f"w{i}" for i in range(40))
+    sets = neardup.shingle_sets(spark.createDataFrame([(1, base), (2, base + " x"), (3, "a b c d e f")], "doc_id long, text string"), Similarity(), spark.sparkContext.broadcast(np.full(1 << 17, np.uint64(2**64 - 1))))
+    confirmed = neardup._confirmed(spark.createDataFrame([(1, 2), (1, 3)], "u long, v long"), sets, Similarity())
+    assert [tuple(r) for r in confirmed.collect()] == [(1, 2)]
+    assert "BroadcastExchange" not in confirmed._jdf.queryExecution().executedPlan().toString()

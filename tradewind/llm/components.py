@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tradewind.llm import store
 
-#: A table of labels goes to every task if it has at most so many rows, 16 bytes each; else it is shuffled.
-MOST_SENT = 250_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -20,10 +18,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
     both, _ = store.compact(both.distinct())
-    labels, n = store.compact(
+    labels, _ = store.compact(
         both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("component"))
     )
-    send = F.broadcast if n <= MOST_SENT else lambda df: df
+    # Labels grow with the links: they are shuffled, never collected by the driver to be sent.
+    send = lambda df: df.hint("merge")
     while True:
         seen = (
             both.join(send(labels.select(F.col("node").alias("v"), "component")), "v")

@@ -31,8 +31,6 @@ from tradewind.llm.text import BLANK_SEPARATED, byte_slices, mix, shingles, sign
 MANTISSA = 10
 #: Bands of at most so many nodes compare all their pairs.
 SMALL_BAND = 16
-#: Pairs are sent to every task if they are at most so many, 16 bytes each; else both sides are shuffled.
-MOST_SENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -194,14 +192,13 @@ def _likely(pairs: DataFrame, nodes: DataFrame, kind: Similarity) -> DataFrame:
     return sized.mapInArrow(scan, "u bigint, v bigint")
 
 
-def _confirmed(pairs: DataFrame, n_pairs: int, sets: DataFrame, kind: Similarity) -> DataFrame:
-    """Pairs whose whole sets have the similarity."""
-    u, v = (sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}_grams")) for x in "uv")
-    if n_pairs <= MOST_SENT:
-        # Few pairs go to the sets, and only the sets of pairs are shuffled.
-        joined = u.join(F.broadcast(pairs), "u").join(v.join(F.broadcast(pairs), "v"), ["u", "v"])
-    else:
-        joined = pairs.join(u, "u").join(v, "v")
+def _confirmed(pairs: DataFrame, sets: DataFrame, kind: Similarity) -> DataFrame:
+    """Pairs whose whole sets have the similarity.
+
+    Pairs and sets grow with the documents: both are shuffled, neither is collected by the driver to be sent.
+    """
+    u, v = (sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}_grams")).hint("merge") for x in "uv")
+    joined = pairs.hint("merge").join(u, "u").join(v, "v")
     common = F.size(F.array_intersect("u_grams", "v_grams"))
     return (
         joined.select("u", "v", F.size("u_grams").alias("a"), F.size("v_grams").alias("b"), common.alias("common"))
@@ -347,14 +344,13 @@ def _linked(documents: DataFrame, kind: Similarity) -> Linked:
         if tested:  # no pair is compared twice
             pairs = pairs.join(reduce(DataFrame.union, tested), ["u", "v"], "left_anti")
         tested.append(store.compact(pairs)[0])
-        likely, n = store.compact(_likely(tested[-1], active, kind))
-        links.append(store.compact(_confirmed(likely, n, sets, kind))[0])
+        likely, _ = store.compact(_likely(tested[-1], active, kind))
+        links.append(store.compact(_confirmed(likely, sets, kind))[0])
 
     def in_components() -> DataFrame:
         """The bands' nodes with the components that all links so far make."""
-        components, n = store.compact(connected_components(reduce(DataFrame.union, links)))
-        components = F.broadcast(components) if n <= MOST_SENT else components
-        labelled = banded.join(components, "node", "left")
+        components, _ = store.compact(connected_components(reduce(DataFrame.union, links)))
+        labelled = banded.join(components.hint("merge"), "node", "left")
         return store.compact(labelled.select("band", "node", F.coalesce("component", "node").alias("component")))[0]
 
     ordered = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
